@@ -54,7 +54,7 @@ MAX_SENTENCES = 10_000
 #: A sentence without one of these is not about licences: it is not looked up.
 CRITICAL = "licen|permission|redistribut|warranty|copyright|version [0-9]+ of the"
 #: Sentences end at a line end, or at . ; : ! ? before white space or the end of the text.
-BREAK = r"[.;:!?]+(?:[\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
+BREAK = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|[\x0A\x0D]+"
 
 
 def sentences(text: Column) -> Column:

@@ -129,10 +129,10 @@ pieces AS (
          s.text || '<|im_end|>' AS body
   FROM people p JOIN said s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.part = s.part),
 placed AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS at FROM pieces)
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS pos FROM pieces)
 SELECT conv_id, part, speaker, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE own)::BIGINT AS n_own_turns,
        sum(length(body)) FILTER (WHERE own)::BIGINT AS n_target_chars,
-       string_agg((at::BIGINT)::VARCHAR || '-' || ((at + length(body))::BIGINT)::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own) AS target_spans,
+       string_agg((pos::BIGINT)::VARCHAR || '-' || ((pos + length(body))::BIGINT)::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own) AS target_spans,
        sha256(string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS text_sha256
 FROM placed GROUP BY conv_id, part, speaker
 """

@@ -29,7 +29,8 @@ def frequent(digests: DataFrame) -> DataFrame:
     """(key): at most SPLIT candidates for frequent digests, by merged Misra-Gries summaries."""
     task = F.shiftright("rid", 33 + FAN_IN.bit_length() - 1)
     first = digests.groupBy(task.alias("part")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(text_sha256), {TRACKED})").alias("state"))
-    merged = first.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {TRACKED}), {SPLIT})").alias("top"))
+    # By a key, as a task without rows would hand on a summary without a type, which can't be merged.
+    merged = first.groupBy(F.lit(0).alias("one")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {TRACKED}), {SPLIT})").alias("top"))
     return merged.select(F.explode("top.item").alias("key"))
 
 

@@ -8,8 +8,11 @@ by LENGTH. Pieces then take the slots of their length by rank.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,48 @@ from siftspark.llm import textbytes
 from siftspark.llm.common import staged
 
 LENGTH = 4096
-#: Words that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 600_000
+#: Pieces of text that a worker remembers, and new ones that it gathers before it sorts them in; beyond it, it starts anew.
+REMEMBERED, RECENT = 3_000_000, 200_000
 #: Rows of a (length, salt) group that a rank window sorts, about.
 RANKED = 20_000
 
 
+#: Kinds of bytes: white space, letters, digits, other ASCII, and those that keep a word whole: non-ASCII letters (they may
+#: compose), apostrophes (contractions) and the sign that begins a special token.
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[[*range(128, 256), ord("'"), ord("<")]] = WHOLE
+KINDS[textbytes.SPACES] = SPACE
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that the tokenizer's model treats on their own: bytes in lower case, starts, ends, number of pieces before each text.
+
+    Words end at ASCII white space, which the tokenizer drops and no rule of it reaches across. Words of plain ASCII
+    are cut into runs of letters, single digits and runs of other characters, as its pattern does; others stay whole.
+    """
+    starts, ends, _ = textbytes.words(data, offsets)
+    kind = KINDS[data]
+    odd = np.concatenate([[0], np.cumsum(kind == WHOLE)])
+    whole = odd[ends] > odd[starts]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[whole]] += 1
+    edge[ends[whole]] -= 1
+    inside = np.cumsum(edge[:-1]).astype(bool)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut[:-1] &= ~inside & (kind != SPACE)
+    cut[starts] = True
+    first = np.flatnonzero(cut[:-1])
+    cut[ends] = True
+    last = np.flatnonzero(cut[1:] & (kind != SPACE)) + 1
+    return np.where(inside, data, textbytes.LOWER[data]), first, last, np.searchsorted(first, offsets)
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, whose model treats each run without white space on its own: distinct runs are encoded once."""
+    """Ids of whole texts by the tokenizers library; equal pieces of text are encoded once and remembered by a 64-bit hash."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,40 +74,80 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.counts, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.recent = none, none
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begin, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.words = 0
+
+    def append(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if len(held) < at + len(values):
+            more = np.zeros(2 * (at + len(values)), held.dtype)
+            more[:at] = held[:at]
+            setattr(self, name, held := more)
+        held[at : at + len(values)] = values
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(counts.sum())
+        self.append("flat", self.used, np.fromiter(chain.from_iterable(ids), np.uint32, total))
+        self.append("begin", self.words, self.used + np.cumsum(counts) - counts)
+        self.append("counts", self.words, counts)
+        index = np.arange(self.words, self.words + len(ids))
+        self.used, self.words = self.used + total, self.words + len(ids)
+        self.recent = self.sorted_in(self.recent, hashes, index)
+        if len(self.recent[0]) > RECENT:
+            self.known = self.sorted_in(self.known, *self.recent)
+            self.recent = self.recent[0][:0], self.recent[1][:0]
+        return index
+
+    @staticmethod
+    def sorted_in(held: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(held[0], hashes)
+        return np.insert(held[0], at, hashes), np.insert(held[1], at, index)
+
+    @staticmethod
+    def found(held: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        if not len(held[0]):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(held[0], hashes), len(held[0]) - 1)
+        return np.where(held[0][at] == hashes, held[1][at], -1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of each text's."""
-        if len(self.known) > REMEMBERED:
+        if self.words > REMEMBERED:
             self.forget()
-        # bytes.split() splits at ASCII white space only, which the tokenizer drops; no rule of it reaches across.
-        lists = [t.split() for t in texts]
-        known = self.known
-        new = list({w: None for words in lists for w in words if w not in known})
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
-            self.counts = np.concatenate([self.counts, counts])
-            self.begin = np.cumsum(self.counts) - self.counts
-        sizes = [len(words) for words in lists]
-        at = np.fromiter((known[w] for words in lists for w in words), np.int64, sum(sizes))
+        data, starts, ends, before = split(data, offsets)
+        names, example, of = np.unique(textbytes.slice_hashes(textbytes.prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
+        index = self.found(self.known, names)
+        index = np.where(index < 0, self.found(self.recent, names), index)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            body = data.tobytes()
+            index[new] = self.learn(names[new], [body[a:b].decode() for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist())])
+        at = index[of]
         n = self.counts[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.begin[at] - total[:-1], n) + np.arange(total[-1])]
-        return ids, np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+        return ids, np.diff(total[before])
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder: later tasks of the same worker find what it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Each document's ids and end_id, cut at multiples of `length`: doc_id, start, length, ids_crc32, doc_tokens, with keep_ids the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for part, data, offsets in textbytes.chunks(batches, 1):
-            body = data.tobytes()
-            ids, counts = encoder.encode([body[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            ids, counts = encoder.encode(data, offsets)
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1
             n = -(-counts // length)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: later tasks of the same worker find what it remembers."""
+    return Encoder(path)
+
+
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for part, _, _ in textbytes.chunks(batches, 1):
         yield part, [t or "" for t in part.column(1).to_pylist()]
@@ -181,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row per input row: id, ids array<int>. Null texts have no ids; repeated rows are encoded each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for part, texts in texts_of(batches):
             ids = encoder.encode(texts)
             values = pa.array(np.concatenate(ids).astype(np.int32))
@@ -210,7 +217,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for part, texts in texts_of(batches):
             ids = encoder.encode(texts)
             sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]

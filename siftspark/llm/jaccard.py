@@ -25,6 +25,7 @@ from siftspark.llm.components import components
 
 #: Sets of a tree at most; larger clusters are cut into blocks of about as many.
 BLOCK = 256
+PIVOTS = 24
 LEAF, FANOUT = 8, 4
 #: Keys of one bucket, and bytes of sets of one task, about.
 BUCKET_KEYS, TASK_BYTES = 1 << 20, 16 << 20
@@ -287,20 +288,17 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
     tasks = max(shuffle_width(spark), total // TASK_BYTES)
     sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     sets = staged(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int")), "sets")
-    one = sets.select(F.xxhash64("cluster", "block").alias("job"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
-    found = staged(_tasks(one, percent, tasks), "links0")
-    large = staged(sets.filter(F.col("members") > BLOCK), "large")
+    # Of a cluster of several blocks, about PIVOTS sets are in every block: they join most components across blocks.
+    pivots = sets.filter((F.col("members") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("members") / PIVOTS)) == 0))
+    copies = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
+    one = sets.unionByName(copies).select(F.xxhash64("cluster", "block").alias("job"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
+    found = staged(_tasks(one, percent, tasks), "links")
+    large = sets.filter(F.col("members") > BLOCK)
     if large.isEmpty():
         return found
-    # Clusters of several blocks. First one set of each component of each block, dealt anew: joins most components.
-    for turn in (1, 2, 3):
-        labels = _labelled(large, found)
-        leaders = labels.groupBy("cluster", "block", "label").agg(F.min_by(F.struct("node", "tokens"), "node").alias("x")).select("cluster", "block", "label", "x.*")
-        many = leaders.groupBy("cluster").agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("n")).filter("labels > 1")
-        leaders = leaders.join(many, "cluster").withColumn("job", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(turn + 1)), F.ceil(F.col("n") / BLOCK))))
-        found = staged(found.unionByName(_tasks(leaders.select("job", F.lit(0).alias("side"), "node", "label", "tokens"), percent, tasks)), f"links{turn}")
     # Then, where components remain, every set outside the largest one against all blocks: nothing is left unchecked.
-    labels = staged(_labelled(large, found), "labels")
+    linked_large = found.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    labels = staged(_labelled(large, linked_large), "labels")
     counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), (F.sum("n") - F.max("n")).alias("outside")).filter("labels > 1")
     rest = labels.join(main, "cluster").withColumns({"chunks": F.ceil(F.col("outside") / BLOCK), "blocks": F.ceil(F.col("members") / BLOCK)})

@@ -18,13 +18,12 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     out = far.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     if not both:
         out = out.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-    out = out.filter("a <> b")
-    return out if both else out.distinct()
+    return out.filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of the links (a, b), a < b, the least node that it is connected with."""
-    edges, seen = edges.select("a", "b"), None
+    edges, seen = staged(edges.select("a", "b"), "links"), None
     while True:
         edges = staged(_star(_star(edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

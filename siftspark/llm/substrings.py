@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ from siftspark.llm.common import shuffle_width, staged
 
 LENGTH = 200
 #: Records gathered before they are dealt out; a sample found this often among them is hot and settled there.
-FLUSH, HOT = 1 << 19, 4
+FLUSH, HOT = 1 << 18, 4
+#: Bytes of text that runs are found in at once: some twenty numbers of 64 bits are held for each.
+CHUNK = 1 << 19
 #: Bytes of text and records of one task, about.
-TASK_BYTES, TASK_RECORDS = 8 << 20, 1 << 20
+TASK_BYTES, TASK_RECORDS = 16 << 20, 1 << 19
 
 RUN = np.dtype([("sample", "<u8"), ("name", "<u8"), ("row", "<i8"), ("at", "<i4"), ("n", "<i2"), ("flag", "i1")])
 WINDOW = np.dtype([("name", "<u8"), ("row", "<i8"), ("at", "<i4"), ("flag", "i1")])
@@ -175,10 +178,9 @@ def flushed(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
 
 def bodies(table: pa.Table) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """(row, id, bytes) of a bucket's texts."""
-    for batch in table.select(["row", "doc_id", "text"]).to_batches():
-        data, offsets = textbytes.raw(batch.column(2))
-        for k, (row, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            yield row, key, data[offsets[k] : offsets[k + 1]]
+    unpack = zstandard.ZstdDecompressor().decompress
+    for row, key, text in zip(*(table[c].to_pylist() for c in ("row", "doc_id", "text"))):
+        yield row, key, np.frombuffer(unpack(text), np.uint8)
 
 
 def by_row(found: np.ndarray) -> dict[int, np.ndarray]:
@@ -199,11 +201,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     width = shuffle_width(spark)
-    places = max(4 * width, size // TASK_BYTES)
-    buckets = max(4 * width, size * 4 // length // TASK_RECORDS)
+    places = max(2 * width, size // TASK_BYTES)
+    buckets = max(width, size * 4 // length // TASK_RECORDS)
+    # Every group of texts deals its windows to all of these, so there are no more than their records need.
+    wide = max(width, size // 20 // TASK_RECORDS)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (runs(data, offsets, part.column(0).to_numpy(), length) for part, data, offsets in textbytes.chunks(batches, 2))
+        parts = (runs(data, offsets, part.column(0).to_numpy(), length) for part, data, offsets in textbytes.chunks(batches, 2, CHUNK))
         for found in flushed(parts):
             found = settled(found)
             yield dealt(found, to_bucket(found, "sample", buckets))
@@ -215,14 +219,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     first = staged(rows.mapInArrow(sample, DEALT).groupBy("bucket").applyInArrow(judge, DEALT), "runs")
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                place = row_bucket(np.asarray(batch.column(0), np.int64), places)
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *batch.columns], ["bucket", *columns])
+        pack = zstandard.ZstdCompressor(3).compress
+        for part, data, offsets in textbytes.chunks(batches, 2):
+            place = row_bucket(np.asarray(part.column(0), np.int64), places)
+            texts = pa.array([pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *part.columns[:2], texts, *part.columns[3:]], ["bucket", *columns])
 
     columns = rows.columns
     types = {c: t for c, t in rows.dtypes if c.startswith("carry_")}
-    placed = rows.mapInArrow(located, "bucket int, " + ", ".join(f"{c} {t}" for c, t in rows.dtypes)).groupBy("bucket")
+    placed = rows.mapInArrow(located, "bucket int, " + ", ".join(f"{c} {t}" for c, t in {**dict(rows.dtypes), "text": "binary"}.items())).groupBy("bucket")
 
     def windows(texts: pa.Table, table: pa.Table) -> pa.Table:
         wanted = by_row(gathered(table, SPAN))
@@ -235,7 +240,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                 out["name"], out["row"], out["at"] = textbytes.slice_hashes(textbytes.prefix_hashes(data), at, at + length), row, at
                 parts.append(out)
         found = same_windows(np.concatenate([np.zeros(0, WINDOW), *parts]), True)
-        return pa.Table.from_batches([dealt(found, to_bucket(found, "name", buckets))])
+        return pa.Table.from_batches([dealt(found, to_bucket(found, "name", wide))])
 
     def confirm(table: pa.Table) -> pa.Table:
         found = same_windows(gathered(table, WINDOW), False)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is taken whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -30,7 +30,19 @@ LEAF, FANOUT = 8, 4
 #: Keys of one bucket, and bytes of sets of one task, about.
 BUCKET_KEYS, TASK_BYTES = 1 << 20, 16 << 20
 #: Keys that a worker gathers before it deals them out.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+
+
+def subsets(differ: int, size: int) -> int:
+    """The least number of subsets of which `size` hashed shingles leave more than `differ` filled, up to six standard deviations."""
+    m = differ + 1
+    while differ and m < 4 * size:
+        one, two = (1 - 1 / m) ** size, (1 - 2 / m) ** size if m > 2 else 0.0
+        spread = math.sqrt(max(0.0, m * one + m * (m - 1) * two - (m * one) ** 2))
+        if m * (1 - one) - 6 * spread >= differ + 1:
+            break
+        m += max(1, m // 64)
+    return m
 
 
 class Bands:
@@ -44,9 +56,10 @@ class Bands:
         top = [(b - 1) + (b - 1) * 100 // percent for b in self.bounds[1:]]
         #: Group k holds range k and the next; its pairs have a smaller set of range k, and so differ in at most so much.
         self.differ = [(100 - percent) * s // (100 + percent) for s in top]
-        #: Subsets beyond D + 1, for those that are empty in both sets and so say nothing.
-        self.slack = [0 if not d else 1 + math.ceil(3 * (d + 1) * math.exp(-(b - 1) / (d + 1))) for d, b in zip(self.differ, self.bounds[1:])]
-        self.parts = [d + 1 + s for d, s in zip(self.differ, self.slack)]
+        #: Subsets: enough that a set of the group has more than D that aren't empty, as empty ones say nothing.
+        self.parts = [subsets(d, b) for d, b in zip(self.differ, self.bounds)]
+        #: Where a set has fewer, more than this are empty: see keys_of.
+        self.slack = [m - d - 1 for m, d in zip(self.parts, self.differ)]
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.bounds), sizes, "right") - 1

@@ -1,8 +1,9 @@
 """N-gram Jaccard join by signature trees.
 
-The upper levels of the tree are a partition of the distinct shingle sets: by size range, and below it by subset: two
-sets that link differ in at most D shingles, so that of D + 1 subsets (shingles dealt out by hash) one is the same in
-both. Sets that share such a subset, directly or by way of others, form a cluster; links lie inside clusters only. In a
+The upper levels of the tree are a partition of the distinct shingle sets by their rarest shingles and by size range: two
+sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each in any common order, here by counts over
+all texts. Sets that share such a shingle and whose sizes admit a link, directly or by way of others, form a cluster;
+links lie inside clusters only. In a
 cluster, the nodes of a signature tree hold OR-combined token bitmaps and size ranges; a dual traversal prunes pairs of
 nodes whose largest possible overlap is too small, or whose sets are connected already, and the remaining pairs of sets
 are compared exactly.
@@ -10,8 +11,6 @@ are compared exactly.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,42 +28,13 @@ PIVOTS = 24
 LEAF, FANOUT = 8, 4
 #: Keys of one bucket, and bytes of sets of one task, about.
 BUCKET_KEYS, TASK_BYTES = 1 << 20, 16 << 20
+#: Counters of the order of shingles, and parts that they are summed in.
+COUNTERS, PARTS = 1 << 18, 16
+RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
 #: Keys that a worker gathers before it deals them out.
 FLUSH = 1 << 19
 
 
-def subsets(differ: int, size: int) -> int:
-    """The least number of subsets of which `size` hashed shingles leave more than `differ` filled, up to six standard deviations."""
-    m = differ + 1
-    while differ and m < 4 * size:
-        one, two = (1 - 1 / m) ** size, (1 - 2 / m) ** size if m > 2 else 0.0
-        spread = math.sqrt(max(0.0, m * one + m * (m - 1) * two - (m * one) ** 2))
-        if m * (1 - one) - 6 * spread >= differ + 1:
-            break
-        m += max(1, m // 64)
-    return m
-
-
-class Bands:
-    """Size ranges and the numbers of subsets, for sets that link when 100 * intersection >= percent * union."""
-
-    def __init__(self, percent: int, largest: int) -> None:
-        self.percent, self.bounds = percent, [1]
-        while self.bounds[-1] <= largest:
-            self.bounds.append(self.bounds[-1] * 100 // percent + 1)
-        self.bounds += [self.bounds[-1] * 100 // percent + 1]
-        top = [(b - 1) + (b - 1) * 100 // percent for b in self.bounds[1:]]
-        #: Group k holds range k and the next; its pairs have a smaller set of range k, and so differ in at most so much.
-        self.differ = [(100 - percent) * s // (100 + percent) for s in top]
-        #: Subsets: enough that a set of the group has more than D that aren't empty, as empty ones say nothing.
-        self.parts = [subsets(d, b) for d, b in zip(self.differ, self.bounds)]
-        #: Where a set has fewer, more than this are empty: see keys_of.
-        self.slack = [m - d - 1 for m, d in zip(self.parts, self.differ)]
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.bounds), sizes, "right") - 1
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of n words; of fewer words, the whole sequence is one."""
     data = textbytes.LOWER[data]
@@ -94,58 +64,56 @@ def names(sets: list[np.ndarray]) -> np.ndarray:
     return textbytes.mix(sums + np.array([len(s) for s in sets], np.uint64) * textbytes.MULTIPLIER).view(np.int64)
 
 
-def keys_of(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the subsets of all sets, and each one's set: two sets that link share one."""
-    all_keys, all_owner = [], []
+def counted(rows: DataFrame, n: int) -> np.ndarray:
+    """For each of COUNTERS hash classes of shingles: texts that have one of it, summed. It orders shingles; any order is right, a true one is fast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, data, offsets in textbytes.chunks(batches, 1):
+            total += np.bincount((np.concatenate(shingles(data, offsets, n)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        cut = range(0, COUNTERS, COUNTERS // PARTS)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": [total[i : i + COUNTERS // PARTS].tobytes() for i in cut]})
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"].slice(0, 1), "counts": [sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()).tobytes()]})
+
+    schema = "part int, counts binary"
+    parts = sorted(rows.select("doc_id", "text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect())
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in parts]) if parts else np.zeros(COUNTERS, np.int64)
+
+
+def keys_of(sets: list[np.ndarray], percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of all sets, and each one's set: two sets that link share one."""
     sizes = np.array([len(s) for s in sets])
+    first = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    place, low, high = (flat >> np.uint64(24)).astype(np.int64), (flat & np.uint64(0xFFFFFFFF)).astype(float), (flat >> np.uint64(32)).astype(float)
-    band = bands.of(sizes)
-    for back in (0, 1):
-        group = band - back
-        parts = np.where((sizes > 0) & (group >= 0), np.array(bands.parts)[group], 0)
-        parts[np.array(bands.differ)[group] == 0] = 0  # only equal sets link, and those have one name
-        begin = np.concatenate([[0], np.cumsum(parts)])
-        use = parts[owner] > 0
-        slot = begin[owner[use]] + place[use] % parts[owner[use]]
-        count, a, b = (np.bincount(slot, w, begin[-1]) for w in (None, low[use], high[use]))
-        of = np.repeat(np.arange(len(sets)), parts)
-        index = np.arange(begin[-1]) - begin[of]
-        salt = textbytes.mix(group[of].astype(np.uint64) * textbytes.MULTIPLIER + index.astype(np.uint64))
-        key = textbytes.mix(textbytes.mix(a.astype(np.uint64) + salt) + b.astype(np.uint64))
-        full = count > 0
-        all_keys.append(key[full])
-        all_owner.append(of[full])
-        # Sets that share untouched subsets only where both are empty: keys of the empty subsets, more than slack at once.
-        empty = np.bincount(of[~full], minlength=len(sets))
-        for i in np.flatnonzero(empty > np.array(bands.slack)[np.maximum(group, 0)] * (parts > 0) + (parts == 0) * 10**9):
-            gaps = index[(of == i) & ~full].tolist()
-            more = [hash((int(group[i]), *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(gaps, bands.slack[group[i]] + 1)]
-            all_keys.append(textbytes.mix(np.array(more, np.uint64)))
-            all_owner.append(np.full(len(more), i))
-    return np.concatenate(all_keys), np.concatenate(all_owner)
-
-
-def dealt(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket, with its keys and nodes as bytes."""
-    to = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((flat, counts[(flat & np.uint64(len(counts) - 1)).astype(np.int64)], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = place < first[owner]
+    return flat[order][kept], owner[kept]
+
+
+def dealt(found: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, with its records as bytes."""
+    to = (textbytes.mix(found["key"]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    keys, nodes = keys[order], nodes[order]
+    found = found[order]
     used = np.flatnonzero(np.diff(cut))
-    blobs = [[x[cut[p] : cut[p + 1]].tobytes() for p in used] for x in (keys, nodes)]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["bucket", "keys", "nodes"])
-
-
-def stars(table: pa.Table) -> pa.Table:
-    """Of a bucket: links (a, b) of every node with the least one that shares a key with it."""
-    keys, nodes = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("keys", np.uint64), ("nodes", np.int64)))
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    head = np.concatenate([[True], keys[1:] != keys[:-1]])
-    least = nodes[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
-    real = least != nodes
-    pairs = np.unique(np.stack([least[real], nodes[real]], 1), axis=0) if real.any() else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([found[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], ["bucket", "records"])
+
+
+def stars(table: pa.Table, percent: int) -> pa.Table:
+    """Of a bucket: links (a, b) that connect the nodes that share a key and whose sizes admit a link."""
+    found = np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for x in table["records"]])
+    found = found[np.lexsort((found["node"], found["size"], found["key"]))]
+    size = found["size"].astype(np.int64)
+    # Sizes in order: where one is too small for the next, no smaller one links with that or a larger one.
+    head = np.concatenate([[True], (found["key"][1:] != found["key"][:-1]) | (100 * size[:-1] < percent * size[1:])])
+    run = np.cumsum(head) - 1
+    least = np.minimum.reduceat(found["node"], np.flatnonzero(head))[run]
+    real = least != found["node"]
+    pairs = np.unique(np.stack([least[real], found["node"][real]], 1), axis=0) if real.any() else np.zeros((0, 2), np.int64)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -339,25 +307,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names(sets))], ["doc_id", "row", "n_shingles", "node"])
 
     named = staged(rows.mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
-    largest, total = named.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    bands = Bands(percent, largest)
-    buckets = max(4 * shuffle_width(spark), int(total * 2 * (100 - percent) / (100 + percent) * 2) // BUCKET_KEYS)
+    total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    counts = counted(rows, n)
+    buckets = max(4 * shuffle_width(spark), total * (100 - percent) // 100 // BUCKET_KEYS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
+        held, size = [], 0
         for _, data, offsets in textbytes.chunks(batches, 1):
             sets = shingles(data, offsets, n)
-            key, owner = keys_of(sets, bands)
-            keys.append(key)
-            nodes.append(names(sets)[owner])
-            held += len(key)
-            if held >= FLUSH:
-                yield dealt(np.concatenate(keys), np.concatenate(nodes), buckets)
-                keys, nodes, held = [], [], 0
-        if held:
-            yield dealt(np.concatenate(keys), np.concatenate(nodes), buckets)
-
-    near = rows.select("doc_id", "text").mapInArrow(deal, "bucket int, keys binary, nodes binary").groupBy("bucket").applyInArrow(stars, "a long, b long")
+            key, owner = keys_of(sets, percent, counts)
+            found = np.zeros(len(key), RECORD)
+            found["key"], found["node"], found["size"] = key, names(sets)[owner], np.array([len(s) for s in sets])[owner]
+            held.append(found)
+            size += len(found)
+            if size >= FLUSH:
+                yield dealt(np.unique(np.concatenate(held)), buckets)
+                held, size = [], 0
+        if size:
+            yield dealt(np.unique(np.concatenate(held)), buckets)
+
+    near = rows.select("doc_id", "text").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(lambda t: stars(t, percent), "a long, b long")
     clusters = components(near)
     first = named.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"))
     wanted = clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster"))

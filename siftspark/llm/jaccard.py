@@ -1,8 +1,9 @@
 """N-gram Jaccard join by signature trees.
 
-The upper levels of the tree are a partition of the distinct shingle sets by their rarest shingles and by size range: two
-sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each in any common order, here by counts over
-all texts. Sets that share such a shingle and whose sizes admit a link, directly or by way of others, form a cluster;
+The upper levels of the tree are a partition of the distinct shingle sets by size range and by keys, of which two sets
+that link share one: at SUBSETS percent or more, subsets of the shingles dealt out by hash (few and large then, so that
+a shared passage makes none), else the rarest shingles, the first |x| - ceil(t |x|) + 1 of each set in a common order,
+here by counts over all texts. Sets that share such a shingle and whose sizes admit a link, directly or by way of others, form a cluster;
 links lie inside clusters only. In a
 cluster, the nodes of a signature tree hold OR-combined token bitmaps and size ranges; a dual traversal prunes pairs of
 nodes whose largest possible overlap is too small, or whose sets are connected already, and the remaining pairs of sets
@@ -11,6 +12,8 @@ are compared exactly.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,48 @@ BLOCK = 256
 PIVOTS = 24
 LEAF, FANOUT = 8, 4
 #: Keys of one bucket, and bytes of sets of one task, about.
-BUCKET_KEYS, TASK_BYTES = 1 << 20, 16 << 20
+BUCKET_KEYS, TASK_BYTES = 1 << 19, 4 << 20
 #: Counters of the order of shingles, and parts that they are summed in.
 COUNTERS, PARTS = 1 << 18, 16
 RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
 #: Keys that a worker gathers before it deals them out.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
+#: Threshold from which keys are subsets.
+SUBSETS = 85
+#: Bytes of text shingled at once.
+CHUNK = 1 << 19
+
+
+def subsets(differ: int, size: int) -> int:
+    """The least number of subsets of which `size` hashed shingles leave more than `differ` filled, up to three standard deviations."""
+    m = differ + 1
+    while differ and m < 4 * size:
+        one, two = (1 - 1 / m) ** size, (1 - 2 / m) ** size if m > 2 else 0.0
+        spread = math.sqrt(max(0.0, m * one + m * (m - 1) * two - (m * one) ** 2))
+        if m * (1 - one) - 3 * spread >= differ + 1:
+            break
+        m += max(1, m // 64)
+    return m
+
+
+class Bands:
+    """Size ranges and the numbers of subsets, for sets that link when 100 * intersection >= percent * union."""
+
+    def __init__(self, percent: int, largest: int) -> None:
+        self.percent, self.bounds = percent, [1]
+        while self.bounds[-1] <= largest:
+            self.bounds.append(self.bounds[-1] * 100 // percent + 1)
+        self.bounds += [self.bounds[-1] * 100 // percent + 1]
+        top = [(b - 1) + (b - 1) * 100 // percent for b in self.bounds[1:]]
+        #: Group k holds range k and the next; its pairs have a smaller set of range k, and so differ in at most so much.
+        self.differ = [(100 - percent) * s // (100 + percent) for s in top]
+        #: Subsets: enough that a set of the group has more than D that aren't empty, as empty ones say nothing.
+        self.parts = [subsets(d, b) for d, b in zip(self.differ, self.bounds)]
+        #: Where a set has fewer, more than this are empty: see keys_of.
+        self.slack = [m - d - 1 for m, d in zip(self.parts, self.differ)]
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.array(self.bounds), sizes, "right") - 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -69,7 +108,7 @@ def counted(rows: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for _, data, offsets in textbytes.chunks(batches, 1):
+        for _, data, offsets in textbytes.chunks(batches, 1, CHUNK):
             total += np.bincount((np.concatenate(shingles(data, offsets, n)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         cut = range(0, COUNTERS, COUNTERS // PARTS)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": [total[i : i + COUNTERS // PARTS].tobytes() for i in cut]})
@@ -82,8 +121,8 @@ def counted(rows: DataFrame, n: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in parts]) if parts else np.zeros(COUNTERS, np.int64)
 
 
-def keys_of(sets: list[np.ndarray], percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest shingles of all sets, and each one's set: two sets that link share one."""
+def rare_keys(sets: list[np.ndarray], percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of all sets, and each one's set."""
     sizes = np.array([len(s) for s in sets])
     first = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -93,6 +132,38 @@ def keys_of(sets: list[np.ndarray], percent: int, counts: np.ndarray) -> tuple[n
     return flat[order][kept], owner[kept]
 
 
+def subset_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the subsets of all sets, and each one's set. Two sets that link differ in at most D shingles, so of more than D subsets that aren't empty one is the same in both."""
+    all_keys, all_owner = [], []
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    place, low, high = (flat >> np.uint64(24)).astype(np.int64), (flat & np.uint64(0xFFFFFFFF)).astype(float), (flat >> np.uint64(32)).astype(float)
+    band = bands.of(sizes)
+    for back in (0, 1):
+        group = band - back
+        parts = np.where((sizes > 0) & (group >= 0), np.array(bands.parts)[group], 0)
+        parts[np.array(bands.differ)[group] == 0] = 0  # only equal sets link, and those have one name
+        begin = np.concatenate([[0], np.cumsum(parts)])
+        use = parts[owner] > 0
+        slot = begin[owner[use]] + place[use] % parts[owner[use]]
+        count, a, b = (np.bincount(slot, w, begin[-1]) for w in (None, low[use], high[use]))
+        of = np.repeat(np.arange(len(sets)), parts)
+        index = np.arange(begin[-1]) - begin[of]
+        salt = textbytes.mix(group[of].astype(np.uint64) * textbytes.MULTIPLIER + index.astype(np.uint64))
+        key = textbytes.mix(textbytes.mix(a.astype(np.uint64) + salt) + b.astype(np.uint64))
+        full = count > 0
+        all_keys.append(key[full])
+        all_owner.append(of[full])
+        # Sets that share untouched subsets only where both are empty: keys of the empty subsets, more than slack at once.
+        empty = np.bincount(of[~full], minlength=len(sets))
+        for i in np.flatnonzero(empty > np.array(bands.slack)[np.maximum(group, 0)] * (parts > 0) + (parts == 0) * 10**9):
+            gaps = index[(of == i) & ~full].tolist()
+            more = [hash((int(group[i]), *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(gaps, bands.slack[group[i]] + 1)]
+            all_keys.append(textbytes.mix(np.array(more, np.uint64)))
+            all_owner.append(np.full(len(more), i))
+    return np.concatenate(all_keys), np.concatenate(all_owner)
+
+
 def dealt(found: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row for each bucket, with its records as bytes."""
     to = (textbytes.mix(found["key"]) % np.uint64(buckets)).astype(np.int64)
@@ -286,7 +357,9 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
     out = rest.filter("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")))
     left = out.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("to")).select(F.xxhash64("cluster", "chunk", "to").alias("job"), F.lit(0).alias("side"), "node", "label", "tokens")
     right = rest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select(F.xxhash64("cluster", "chunk", "block").alias("job"), F.lit(1).alias("side"), "node", "label", "tokens")
-    return found.unionByName(_tasks(left.unionByName(right), percent, tasks))
+    pairs = staged(left.unionByName(right), "pairs")
+    volume = pairs.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0]
+    return found.unionByName(_tasks(pairs, percent, max(shuffle_width(spark), volume // TASK_BYTES)))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,29 +375,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in textbytes.chunks(batches, 1):
+        for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
             sets = shingles(data, offsets, n)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names(sets))], ["doc_id", "row", "n_shingles", "node"])
 
     named = staged(rows.mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
-    total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    counts = counted(rows, n)
-    buckets = max(4 * shuffle_width(spark), total * (100 - percent) // 100 // BUCKET_KEYS)
+    largest, total = named.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bands = Bands(percent, largest) if percent >= SUBSETS else None
+    counts = None if bands else counted(rows, n)
+    buckets = max(4 * shuffle_width(spark), total * (100 - percent) // 50 // BUCKET_KEYS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, data, offsets in textbytes.chunks(batches, 1):
+        for _, data, offsets in textbytes.chunks(batches, 1, CHUNK):
             sets = shingles(data, offsets, n)
-            key, owner = keys_of(sets, percent, counts)
+            key, owner = subset_keys(sets, bands) if bands else rare_keys(sets, percent, counts)
             found = np.zeros(len(key), RECORD)
             found["key"], found["node"], found["size"] = key, names(sets)[owner], np.array([len(s) for s in sets])[owner]
             held.append(found)
             size += len(found)
             if size >= FLUSH:
-                yield dealt(np.unique(np.concatenate(held)), buckets)
+                yield dealt(np.concatenate(held), buckets)
                 held, size = [], 0
         if size:
-            yield dealt(np.unique(np.concatenate(held)), buckets)
+            yield dealt(np.concatenate(held), buckets)
 
     near = rows.select("doc_id", "text").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(lambda t: stars(t, percent), "a long, b long")
     clusters = components(near)
@@ -332,7 +406,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wanted = clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in textbytes.chunks(batches, 1):
+        for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
             sets = shingles(data, offsets, n)
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "tokens"])
 

@@ -1,15 +1,9 @@
 """Removal of byte strings that are found more than once in the corpus.
 
-The method asked for sorts suffixes sampled by an arithmetic difference cover. At byte level that shuffles two thirds of
-all positions on each level of the recursion, some twenty times the text; so the cover here is taken from the content:
-of the Q-grams of every window of LENGTH bytes, the one with the least hash is its sample. Equal windows have the same
-sample at the same place, as equal suffixes have in a difference cover, so samples can be named and sorted first, and
-the remaining windows only need comparing where the names leave them open:
-
-1. Consecutive windows with one sample are a run, named by its sample's Q-gram and by all its bytes. Runs are sorted by
-   the two names. Runs whose second name is found twice are repeated as a whole; a sample found once repeats nothing.
-2. Windows of the runs left open (where a repeated passage begins or ends) are named one by one and sorted with those of
-   one run of each name they could meet: a window whose neighbour is equal is repeated.
+1. Of the Q-grams of every window of LENGTH bytes the one with the least hash is its sample; equal windows have equal
+   samples. Windows whose sample is found once in the corpus are not repeated; the rest are the texts of step 2.
+2. Their suffixes are sorted by the difference-cover algorithm, and neighbours compared (difference_cover.py).
+3. Every byte that a repeated window covers is cut.
 """
 
 from __future__ import annotations
@@ -20,25 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import shuffle_width, staged
+from siftspark.llm.common import shuffle_width
+from siftspark.llm.difference_cover import Row, Table, exchange, packed, repeated, text_of, unpacked
 
 LENGTH = 200
-#: Records gathered before they are dealt out; a sample found this often among them is hot and settled there.
-FLUSH, HOT = 1 << 18, 4
-#: Bytes of text that runs are found in at once: some twenty numbers of 64 bits are held for each.
-CHUNK = 1 << 19
-#: Bytes of text and records of one task, about.
-TASK_BYTES, TASK_RECORDS = 16 << 20, 1 << 19
-
-RUN = np.dtype([("sample", "<u8"), ("name", "<u8"), ("row", "<i8"), ("at", "<i4"), ("n", "<i2"), ("flag", "i1")])
-WINDOW = np.dtype([("name", "<u8"), ("row", "<i8"), ("at", "<i4"), ("flag", "i1")])
-SPAN = np.dtype([("row", "<i8"), ("at", "<i4"), ("n", "<i2")])
-#: Flags of records: to be compared; known to be shared; repeated for sure; to be opened.
-PLAIN, SHARED, SURE, OPEN = range(4)
+#: Bytes of text of one place and of one range of the order, about; a longer text is taken whole.
+PLACE_BYTES, RANGE_BYTES = 1 << 21, 1 << 20
 
 
 def least_in(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,144 +35,23 @@ def least_in(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """The runs of all texts of a chunk."""
+def samples(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each run of windows with one sample, and the sample's hash."""
     gram = length // 2
     if len(data) < length:
-        return np.zeros(0, RUN)
-    h = textbytes.prefix_hashes(data)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.arange(len(data) - gram + 1)
-    hashes = textbytes.slice_hashes(h, place, place + gram)
-    packed = (hashes >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
-    sample = (least_in(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    hashes = textbytes.slice_hashes(textbytes.prefix_hashes(data), place, place + gram)
+    marked = (hashes >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
+    sample = (least_in(marked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     window = np.arange(len(sample))
-    text = np.searchsorted(offsets, window, "right") - 1
-    inside = window + length <= offsets[text + 1]
+    text = np.searchsorted(ends, window, "right")
+    inside = window + length <= ends[text]
     new = np.concatenate([[True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(sample)) - 1
     first, last = first[inside[first]], last[inside[first]]
-    out = np.zeros(len(first), RUN)
-    out["sample"] = hashes[sample[first]]
-    out["name"] = textbytes.mix(textbytes.slice_hashes(h, first, last + length) + (sample[first] - first).astype(np.uint64))
-    out["row"], out["at"], out["n"] = rows[text[first]], first - offsets[text[first]], last - first + 1
-    return out
-
-
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts by the keys (the first counts most), begin of each group in it, and its size."""
-    order = np.lexsort(keys[::-1])
-    differ = np.zeros(max(0, len(order) - 1), bool)
-    for k in keys:
-        differ |= k[order][1:] != k[order][:-1]
-    begin = np.flatnonzero(np.concatenate([[True], differ])) if len(order) else np.zeros(0, np.int64)
-    return order, begin, np.diff(np.append(begin, len(order)))
-
-
-def settled(found: np.ndarray) -> np.ndarray:
-    """What a worker can settle of its own runs, so that no task gets all runs of a sample that a large share of the texts has."""
-    order, begin, size = groups(found["sample"], found["name"])
-    found = found[order]
-    _, of_sample, samples = groups(found["sample"])
-    hot = np.repeat(samples >= HOT, samples)
-    first = np.zeros(len(found), bool)
-    first[begin] = True
-    again = np.repeat(size > 1, size)
-    rest, sure, opened = found[~hot], found[hot & again].copy(), found[hot & first].copy()
-    mark = found[of_sample[samples >= HOT]].copy()
-    sure["flag"], opened["flag"], mark["flag"] = SURE, OPEN, SHARED
-    return np.concatenate([rest, sure, opened, mark])
-
-
-def judged(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all runs of some samples: those repeated as a whole, and those to be opened."""
-    sure, opened = [found[found["flag"] == SURE]], [found[found["flag"] == OPEN]]
-    found = found[found["flag"] < SURE]
-    order, begin, size = groups(found["sample"], np.where(found["flag"] == SHARED, 0, 1), found["name"])
-    found = found[order]
-    _, _, samples = groups(found["sample"])
-    mark = found["flag"] == SHARED
-    of = np.repeat(np.arange(len(samples)), samples)
-    marked = np.bincount(of[mark], minlength=len(samples)) > 0
-    again = np.repeat(size > 1, size) & ~mark
-    alone = ~again & ~mark
-    left = (np.bincount(of[alone], minlength=len(samples)) > 0) | marked
-    shared = marked | (samples > 1)
-    first = np.zeros(len(found), bool)
-    first[begin] = True
-    sure.append(found[again])
-    opened.append(found[(alone & shared[of]) | (again & first & left[of])])
-    return np.concatenate(sure), np.concatenate(opened)
-
-
-def same_windows(found: np.ndarray, local: bool) -> np.ndarray:
-    """Windows with a flag: SURE if an equal one is there. local: one of each name stays, as SHARED, for others to meet."""
-    done = found[found["flag"] == SURE]
-    found = found[found["flag"] < SURE]
-    order, begin, size = groups(found["name"])
-    found = found[order].copy()
-    shared = np.repeat((size > 1) | (np.add.reduceat(found["flag"] == SHARED, begin) > 0 if len(begin) else False), size)
-    found["flag"][shared] = SURE
-    if local:
-        keep = begin[size > 1]
-        found["flag"][keep] = SHARED
-    return np.concatenate([done, found])
-
-
-def spans(found: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(found), SPAN)
-    out["row"], out["at"], out["n"] = found["row"], found["at"], found["n"] if "n" in found.dtype.names else 1
-    return out
-
-
-def to_bucket(found: np.ndarray, key: str, buckets: int) -> np.ndarray:
-    """Where a record goes: by its key if others may have to meet it there, else anywhere."""
-    by = np.where(found["flag"] >= SURE, textbytes.mix(found["row"].view(np.uint64) + found["at"].astype(np.uint64)), textbytes.mix(found[key]))
-    return (by % np.uint64(buckets)).astype(np.int64)
-
-
-def row_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
-    return (textbytes.mix(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def dealt(found: np.ndarray, to: np.ndarray, kind: int = 0) -> pa.RecordBatch:
-    order = np.argsort(to, kind="stable")
-    found, to = found[order], to[order]
-    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
-    blobs = [found[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind), pa.int32()), pa.array(to[cut[:-1]] if len(to) else [], pa.int32()), pa.array(blobs, pa.binary())], ["kind", "bucket", "records"])
-
-
-def gathered(table: pa.Table, dtype: np.dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x.as_buffer(), dtype) for x in table["records"]]])
-
-
-DEALT = "kind int, bucket int, records binary"
-
-
-def flushed(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-    held, size = [], 0
-    for x in parts:
-        held.append(x)
-        size += len(x)
-        if size >= FLUSH:
-            yield np.concatenate(held)
-            held, size = [], 0
-    if size:
-        yield np.concatenate(held)
-
-
-def bodies(table: pa.Table) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """(row, id, bytes) of a bucket's texts."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for row, key, text in zip(*(table[c].to_pylist() for c in ("row", "doc_id", "text"))):
-        yield row, key, np.frombuffer(unpack(text), np.uint8)
-
-
-def by_row(found: np.ndarray) -> dict[int, np.ndarray]:
-    order, begin, size = groups(found["row"])
-    found = found[order]
-    return {int(found["row"][b]): found[b : b + n] for b, n in zip(begin, size)}
+    return first, last, hashes[sample[first]].view(np.int64)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -198,83 +63,66 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     characters that were cut.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    kinds = {c: t for c, t in rows.dtypes if c.startswith("carry_")}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for part, data, offsets in textbytes.chunks(batches, 1, PLACE_BYTES):
+            whole = [pa.array([x], pa.binary()) for x in (packed(np.diff(offsets)), zstandard.ZstdCompressor(3).compress(data.tobytes()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, *range(2, part.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *whole, *lists], ["place", "lens", "data", "doc_id", *kinds])
+            place += 1
+
+    texts = Table(rows.mapInArrow(placed, "place long, lens binary, data binary, doc_id array<long>" + "".join(f", {c} array<{t}>" for c, t in kinds.items())), "texts")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    width = shuffle_width(spark)
-    places = max(2 * width, size // TASK_BYTES)
-    buckets = max(width, size * 4 // length // TASK_RECORDS)
-    # Every group of texts deals its windows to all of these, so there are no more than their records need.
-    wide = max(width, size // 20 // TASK_RECORDS)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (runs(data, offsets, part.column(0).to_numpy(), length) for part, data, offsets in textbytes.chunks(batches, 2, CHUNK))
-        for found in flushed(parts):
-            found = settled(found)
-            yield dealt(found, to_bucket(found, "sample", buckets))
-
-    def judge(table: pa.Table) -> pa.Table:
-        sure, opened = judged(gathered(table, RUN))
-        return pa.Table.from_batches([dealt(spans(x), row_bucket(x["row"], places), kind) for kind, x in enumerate((sure, opened))])
-
-    first = staged(rows.mapInArrow(sample, DEALT).groupBy("bucket").applyInArrow(judge, DEALT), "runs")
-
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
-        for part, data, offsets in textbytes.chunks(batches, 2):
-            place = row_bucket(np.asarray(part.column(0), np.int64), places)
-            texts = pa.array([pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *part.columns[:2], texts, *part.columns[3:]], ["bucket", *columns])
-
-    columns = rows.columns
-    types = {c: t for c, t in rows.dtypes if c.startswith("carry_")}
-    placed = rows.mapInArrow(located, "bucket int, " + ", ".join(f"{c} {t}" for c, t in {**dict(rows.dtypes), "text": "binary"}.items())).groupBy("bucket")
-
-    def windows(texts: pa.Table, table: pa.Table) -> pa.Table:
-        wanted = by_row(gathered(table, SPAN))
-        parts = []
-        for row, _, data in bodies(texts):
-            if row in wanted:
-                at = np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in wanted[row]])
-                at = np.unique(at).astype(np.int64)
-                out = np.zeros(len(at), WINDOW)
-                out["name"], out["row"], out["at"] = textbytes.slice_hashes(textbytes.prefix_hashes(data), at, at + length), row, at
-                parts.append(out)
-        found = same_windows(np.concatenate([np.zeros(0, WINDOW), *parts]), True)
-        return pa.Table.from_batches([dealt(found, to_bucket(found, "name", wide))])
-
-    def confirm(table: pa.Table) -> pa.Table:
-        found = same_windows(gathered(table, WINDOW), False)
-        found = found[found["flag"] == SURE]
-        return pa.Table.from_batches([dealt(spans(found), row_bucket(found["row"], places))])
-
-    opened = first.filter("kind = 1").groupBy("bucket")
-    second = staged(placed.cogroup(opened).applyInArrow(windows, DEALT).groupBy("bucket").applyInArrow(confirm, DEALT), "windows")
-
-    def cut(texts: pa.Table, table: pa.Table) -> pa.Table:
-        wanted = by_row(gathered(table, SPAN))
+    buckets = max(shuffle_width(spark), size // RANGE_BYTES)
+
+    def ask(row: Row) -> tuple[np.ndarray, np.ndarray]:
+        strings, data = text_of(row)
+        found, many = np.unique(samples(data, strings.ends, length)[2], return_counts=True)
+        return np.stack([found, many > 1], 1), (textbytes.mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    def shared(records: np.ndarray) -> tuple[np.ndarray, int]:
+        _, of, many = np.unique(records[:, 0], return_inverse=True, return_counts=True)
+        return ((many > 1) | (np.bincount(of, records[:, 1], len(many)) > 0))[of].astype(np.int64), 0
+
+    def segments(row: Row, reply: np.ndarray) -> Row:
+        strings, data = text_of(row)
+        first, last, name = samples(data, strings.ends, length)
+        keep = reply[np.unique(name, return_inverse=True)[1]] > 0
+        first, last = first[keep], last[keep]
+        new = np.concatenate([[True], first[1:] != last[:-1] + 1])[: len(first)]
+        new[1:] |= np.searchsorted(strings.ends, first[1:], "right") != np.searchsorted(strings.ends, first[:-1], "right")
+        begin = first[new]
+        end = last[np.append(new[1:], True)[: len(new)]] + length
+        left = b"".join(data[a:b].tobytes() for a, b in zip(begin, end))
+        return {"place": row["place"], "starts": packed(begin), "lens": packed(end - begin), "data": zstandard.ZstdCompressor(1).compress(left)}
+
+    state = exchange(texts.df.select("place", "lens", "data"), ask, 2, shared, segments, "place long, starts binary, lens binary, data binary", "segments")
+    spans = repeated(state, length, buckets)
+    state.drop()
+    names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if keep_text else {})
+
+    def cut(mine: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in names}
-        for row, key, data in bodies(texts):
-            keep = np.ones(len(data), bool)
-            if row in wanted:
-                s = wanted[row]
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, s["at"], 1)
-                np.add.at(edge, s["at"] + s["n"] - 1 + length, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-            left = data[keep].tobytes()
-            gone = np.concatenate([[False], ~keep])
-            values = [key, len(data), len(data) - len(left), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest()]
-            if keep_text:
-                values.append(left.decode("utf-8", "ignore"))
-            for c, v in zip(names, values):
-                out[c].append(v)
-        table = pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+        for row in mine.select(["place", "lens", "data", "doc_id"]).to_pylist():
+            strings, data = text_of(row)
+            edge = np.zeros(len(data) + 1, np.int32)
+            for x in found["spans"].to_pylist():
+                at = unpacked(x)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + length, -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            for key, a, b in zip(row["doc_id"], strings.ends - strings.lens, strings.ends):
+                left, gone = data[a:b][keep[a:b]].tobytes(), np.concatenate([[False], ~keep[a:b]])
+                values = [key, int(b - a), int(b - a) - len(left), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest()]
+                for c, v in zip(names, [*values, left.decode("utf-8", "ignore")]):
+                    out[c].append(v)
+        table = pa.table({c: pa.array(v, names[c]) for c, v in out.items()})
         for c in carry:
-            table = table.append_column(c, texts[f"carry_{c}"])
+            table = table.append_column(c, mine[f"carry_{c}"].combine_chunks().flatten())
         return table
 
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if keep_text else {})
-    names = list(kinds)
-    removed = first.filter("kind = 0").unionByName(second).groupBy("bucket")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", {c} {types['carry_' + c]}" for c in carry)
-    return placed.cogroup(removed).applyInArrow(cut, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", {c} {kinds['carry_' + c]}" for c in carry)
+    return texts.df.groupBy("place").cogroup(spans.df.groupBy("place")).applyInArrow(cut, schema)

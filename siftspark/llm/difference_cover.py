@@ -33,6 +33,7 @@ from siftspark.llm import textbytes
 from siftspark.llm.common import shared_dir
 
 OVERSAMPLE = 32
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DEALT = "place long, bucket int, records binary, n long"
 
 
@@ -41,7 +42,13 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str) -> None:
         self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
-        df.write.parquet(self.path)
+        # Nothing reads df again, so the files of its shuffles go when it is written.
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

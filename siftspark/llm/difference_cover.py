@@ -69,9 +69,19 @@ def unpacked(blob: bytes, columns: int = 1) -> np.ndarray:
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct rows, the place of every row among them, and how often each is there."""
+    """Distinct rows, the place of every row among them, and how often each is there. Grouped by hash, and by sorting if two rows share one."""
     if not len(rows):
         return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        name = textbytes.mix(name * textbytes.MULTIPLIER + rows[:, c].view(np.uint64))
+    _, first, of, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    out = rows[first]
+    return (out, of, many) if (out[of] == rows).all() else sorted_distinct(rows)
+
+
+def sorted_distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As distinct(), in order."""
     order = np.lexsort(rows.T[::-1])
     head = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(1)])
     of = np.empty(len(rows), np.int64)
@@ -164,7 +174,8 @@ def range_of(data: np.ndarray, ends: np.ndarray, position: np.ndarray, splitters
 
 
 Row = dict[str, object]
-Ask = Callable[[Row], tuple[np.ndarray, np.ndarray]]
+#: Records of a place, their buckets, and what else the place needs to read the answers.
+Ask = Callable[[Row], tuple]
 
 
 def dealt(state: DataFrame, ask: Ask) -> DataFrame:
@@ -174,7 +185,7 @@ def dealt(state: DataFrame, ask: Ask) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                records, bucket = ask(row)
+                records, bucket = ask(row)[:2]
                 order = np.argsort(bucket, kind="stable")
                 used, cut = np.unique(bucket[order], return_index=True)
                 blobs = [packed(records[order[a:b]]) for a, b in zip(cut, np.append(cut[1:], len(order)))]
@@ -183,7 +194,7 @@ def dealt(state: DataFrame, ask: Ask) -> DataFrame:
     return state.mapInArrow(run, DEALT)
 
 
-def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[[Row, np.ndarray], Row], schema: str, label: str) -> Table:
+def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[..., Row], schema: str, label: str) -> Table:
     """Ask buckets for numbers of the records of each place, and make the place's new row of its old one and the answers.
 
     answer(records) gives a number for each record of a bucket, and by how much the numbers of later buckets move.
@@ -205,11 +216,11 @@ def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndar
     def receive(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         for row in mine.to_pylist():
-            records, bucket = ask(row)
+            records, bucket, *context = ask(row)
             order, reply = np.argsort(bucket, kind="stable"), np.zeros(len(records), np.int64)
             got = sorted(zip(replies["bucket"].to_pylist(), replies["records"].to_pylist()))
             reply[order] = np.concatenate([np.zeros(0, np.int64), *[unpacked(x) + before[b] for b, x in got]])
-            out.append(take(row, reply))
+            out.append(take(row, reply, *context))
         return pa.Table.from_pylist(out, arrow)
 
     arrow = pa.schema([(f.name, {"bigint": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}[f.dataType.simpleString()]) for f in types])
@@ -225,20 +236,20 @@ def text_of(row: Row) -> tuple[Strings, np.ndarray]:
     return Strings(unpacked(row["lens"])), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
 
 
-def symbols(row: Row, strings: Strings, data: np.ndarray, k: int) -> np.ndarray:
-    return strings.level(k).padded(data.astype(np.int64) + 1 if k == 0 else unpacked(row["names"][k - 1]))
+def symbols(row: Row, level: Strings, data: np.ndarray, k: int) -> np.ndarray:
+    return level.padded(data.astype(np.int64) + 1 if k == 0 else unpacked(row["names"][k - 1]))
 
 
-def triples(row: Row, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def triples(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
     strings, data = text_of(row)
-    level, s = strings.level(k), symbols(row, strings, data, k)
-    at = level.sampled()
-    return np.stack([s[at], s[at + 1], s[at + 2]], 1), level.position[at], at
+    level = strings.level(k)
+    s, at = symbols(row, level, data, k), level.sampled()
+    return np.stack([s[at], s[at + 1], s[at + 2]], 1), level.position[at]
 
 
 def named(records: np.ndarray) -> tuple[np.ndarray, int]:
     rows, of, _ = distinct(records)
-    return of + 1, len(rows)
+    return sorted_distinct(rows)[1][of] + 1, len(rows)
 
 
 def order_of(records: np.ndarray) -> tuple[np.ndarray, int]:
@@ -258,7 +269,8 @@ def order_of(records: np.ndarray) -> tuple[np.ndarray, int]:
 def merging(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of level k: residue 0 (0, s0, s1, rank of i + 1, of i + 2), 1 (1, s0, s1, own rank, of i + 1), 2 (2, s0, s1, own rank, of i + 2); and its position."""
     strings, data = text_of(row)
-    level, s = strings.level(k), symbols(row, strings, data, k)
+    level = strings.level(k)
+    s = symbols(row, level, data, k)
     rank = np.zeros(len(s), np.int64)
     rank[level.sampled()] = unpacked(row["ranks"])
     at, c = level.place, level.residue()
@@ -336,30 +348,29 @@ def repeated(state: Table, depth: int, buckets: int) -> Table:
 
     for k in range(1, top + 1):
 
-        def ask(row: Row, k: int = k) -> tuple[np.ndarray, np.ndarray]:
-            return ranged(row, *triples(row, k)[:2])[:2]
+        def ask(row: Row, k: int = k) -> tuple:
+            return ranged(row, *triples(row, k))
 
-        def take(row: Row, reply: np.ndarray, k: int = k) -> Row:
-            got = packed(reply[ranged(row, *triples(row, k)[:2])[2]])
+        def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = k) -> Row:
+            got = packed(reply[of])
             return row | ({"ranks": got} if k == top else {"names": [*row["names"], got]})
 
         step(ask, 3, named, take, STATE, f"names-{k}")
     for k in range(top, 0, -1):
 
-        def ask(row: Row, k: int = k) -> tuple[np.ndarray, np.ndarray]:
-            return ranged(row, *merging(row, k))[:2]
+        def ask(row: Row, k: int = k) -> tuple:
+            return ranged(row, *merging(row, k))
 
-        def take(row: Row, reply: np.ndarray, k: int = k) -> Row:
-            return row | {"ranks": packed(reply[ranged(row, *merging(row, k))[2]]), "names": row["names"][: k - 1]}
+        def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = k) -> Row:
+            return row | {"ranks": packed(reply[of]), "names": row["names"][: k - 1]}
 
         step(ask, 5, order_of, take, STATE, f"ranks-{k}")
 
-    def last(row: Row) -> tuple[np.ndarray, np.ndarray]:
-        return ranged(row, *windows(row, depth))[:2]
-
-    def flagged(row: Row, reply: np.ndarray) -> Row:
+    def last(row: Row) -> tuple:
         records, position = windows(row, depth)
-        _, _, of, many = ranged(row, records, position)
+        return *ranged(row, records, position), position
+
+    def flagged(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, position: np.ndarray) -> Row:
         at = position[((reply > 0) | (many > 1))[of]]
         strings, _ = text_of(row)
         text = np.searchsorted(strings.ends, at, "right")

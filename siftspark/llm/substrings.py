@@ -78,19 +78,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_width(spark), size // RANGE_BYTES)
 
-    def ask(row: Row) -> tuple[np.ndarray, np.ndarray]:
+    def ask(row: Row) -> tuple:
         strings, data = text_of(row)
-        found, many = np.unique(samples(data, strings.ends, length)[2], return_counts=True)
-        return np.stack([found, many > 1], 1), (textbytes.mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        first, last, name = samples(data, strings.ends, length)
+        found, of, many = np.unique(name, return_inverse=True, return_counts=True)
+        return np.stack([found, many > 1], 1), (textbytes.mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), first, last, of
 
     def shared(records: np.ndarray) -> tuple[np.ndarray, int]:
         _, of, many = np.unique(records[:, 0], return_inverse=True, return_counts=True)
         return ((many > 1) | (np.bincount(of, records[:, 1], len(many)) > 0))[of].astype(np.int64), 0
 
-    def segments(row: Row, reply: np.ndarray) -> Row:
+    def segments(row: Row, reply: np.ndarray, first: np.ndarray, last: np.ndarray, of: np.ndarray) -> Row:
         strings, data = text_of(row)
-        first, last, name = samples(data, strings.ends, length)
-        keep = reply[np.unique(name, return_inverse=True)[1]] > 0
+        keep = reply[of] > 0
         first, last = first[keep], last[keep]
         new = np.concatenate([[True], first[1:] != last[:-1] + 1])[: len(first)]
         new[1:] |= np.searchsorted(strings.ends, first[1:], "right") != np.searchsorted(strings.ends, first[:-1], "right")

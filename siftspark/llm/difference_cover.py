@@ -24,6 +24,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -62,34 +63,34 @@ def unpacked(blob: bytes, columns: int = 1) -> np.ndarray:
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the place of every row among them, and how often each is there. Grouped by hash, and by sorting if two rows share one."""
+    """Distinct rows as they first come, the place of every row among them, and how often each is there. Grouped by hash, and by sorting if two rows share one."""
     if not len(rows):
         return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
     name = np.zeros(len(rows), np.uint64)
     for c in range(rows.shape[1]):
         name = textbytes.mix(name * textbytes.MULTIPLIER + rows[:, c].view(np.uint64))
-    _, first, of, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-    out = rows[first]
-    return (out, of, many) if (out[of] == rows).all() else sorted_distinct(rows)
-
-
-def sorted_distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As distinct(), in order."""
-    order = np.lexsort(rows.T[::-1])
-    head = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(1)])
-    of = np.empty(len(rows), np.int64)
-    of[order] = np.cumsum(head) - 1
-    return rows[order[head]], of, np.diff(np.append(np.flatnonzero(head), len(rows)))
-
-
-def below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of a, how many rows of b are smaller."""
-    both = np.concatenate([a, b])
-    mark = np.arange(len(both)) >= len(a)
-    order = np.lexsort((mark, *both.T[::-1]))
-    out = np.empty(len(both), np.int64)
-    out[order] = np.cumsum(mark[order])
-    return out[: len(a)]
+    of = pd.factorize(name)[0]
+    out = rows[np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1))]
+    if not (out[of] == rows).all():
+        out, of = np.unique(rows, axis=0, return_inverse=True)
+        of = of.ravel()
+    return out, of, np.bincount(of)
+
+
+def keys(*tables: np.ndarray) -> list[np.ndarray]:
+    """A number for each row of tables with the same columns, all in the order of the rows."""
+    rows = np.concatenate(tables)
+    out, room = np.zeros(len(rows), np.int64), 63
+    for c in range(rows.shape[1] if len(rows) else 0):
+        x = rows[:, c] - rows[:, c].min()
+        if int(x.max()).bit_length() > room:
+            out = np.unique(out, return_inverse=True)[1]
+            room = 63 - int(out.max()).bit_length()
+        if int(x.max()).bit_length() > room:
+            x = np.unique(x, return_inverse=True)[1]
+        bits = int(x.max()).bit_length()
+        out, room = out << bits | x, room - bits
+    return np.split(out, np.cumsum([len(t) for t in tables])[:-1])
 
 
 class Strings:
@@ -136,26 +137,39 @@ class Strings:
         return self if k == 0 else self.next().level(k - 1)
 
 
-def prefix_word(data: np.ndarray, ends: np.ndarray, position: np.ndarray, w: int) -> np.ndarray:
-    """Bytes 8 w to 8 w + 8 behind each position as a big-endian number, with zeros behind its text's end."""
-    out = np.zeros(len(position), np.uint64)
-    end = np.append(ends, len(data))[np.searchsorted(ends, position, "right")]
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, and none behind the last, as big-endian numbers with zeros behind the data."""
+    padded = np.zeros(len(data) + 8, np.uint64)
+    padded[: len(data)] = data
+    out = np.zeros(len(data) + 1, np.uint64)
     for b in range(8):
-        at = position + 8 * w + b
-        out = out << np.uint64(8) | np.where(at < end, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64)
+        out = out << np.uint64(8) | padded[b : b + len(out)]
     return out
 
 
+def prefix_word(words: np.ndarray, end: np.ndarray, position: np.ndarray, w: int) -> np.ndarray:
+    """Bytes 8 w to 8 w + 8 behind each position as a big-endian number, with zeros behind its text's end."""
+    at = position + 8 * w
+    gone = np.uint64(8) * np.clip(8 - (end - at), 0, 7).astype(np.uint64)
+    return np.where(at < end, words[np.minimum(at, len(words) - 1)] >> gone << gone, np.uint64(0))
+
+
+def ends_of(ends: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The end of each position's text; behind the last text, that position's own."""
+    return np.append(ends, ends[-1] if len(ends) else 0)[np.searchsorted(ends, position, "right")]
+
+
 def range_of(data: np.ndarray, ends: np.ndarray, position: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     """How many splitters (rows of words) are smaller than the text behind each position."""
     low, high = np.zeros(len(position), np.int64), np.full(len(position), len(splitters))
     left = np.arange(len(position)) if len(splitters) else np.zeros(0, np.int64)
+    words, end = words_of(data), ends_of(ends, position)
     for w in range(splitters.shape[1]):
         if not len(left):
             break
-        word = prefix_word(data, ends, position[left], w)
-        order = np.lexsort((high[left], low[left]))
-        left, word = left[order], word[order]
+        if w:
+            left = left[np.argsort(low[left] * (len(splitters) + 1) + high[left], kind="stable")]
+        word = prefix_word(words, end[left], position[left], w)
         a, b = low[left].copy(), high[left].copy()
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
         for s, e in zip(cut[:-1], cut[1:]):
@@ -241,22 +255,26 @@ def triples(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def named(records: np.ndarray) -> tuple[np.ndarray, int]:
-    rows, of, _ = distinct(records)
-    return sorted_distinct(rows)[1][of] + 1, len(rows)
+    rows, of = np.unique(keys(records)[0], return_inverse=True)
+    return of + 1, len(rows)
 
 
 def order_of(records: np.ndarray) -> tuple[np.ndarray, int]:
-    """Merge: records (residue, two symbols, own or next rank, rank after that) to their ranks. See merging()."""
-    rows, of, _ = distinct(records)
-    zero, one, two = (np.flatnonzero(rows[:, 0] == c) for c in range(3))
-    pick = lambda which, *columns: rows[which][:, columns]
-    rank = np.zeros(len(rows), np.int64)
+    """Merge: records (residue, two symbols, own or next rank, rank after that) to their ranks, one more than the smaller records. See merging()."""
+    zero, one, two = (np.flatnonzero(records[:, 0] == c) for c in range(3))
+    pick = lambda which, *columns: records[np.ix_(which, columns)]
+    below = lambda a, b: np.searchsorted(np.sort(b), a)
+    rank = np.ones(len(records), np.int64)
     both = np.concatenate([one, two])
-    rank[both] = below(pick(both, 3), pick(both, 3))
-    rank[one] += below(pick(one, 1, 4), pick(zero, 1, 3))
-    rank[two] += below(pick(two, 1, 2, 4), pick(zero, 1, 2, 4))
-    rank[zero] = below(pick(zero, 1, 3), pick(zero, 1, 3)) + below(pick(zero, 1, 3), pick(one, 1, 4)) + below(pick(zero, 1, 2, 4), pick(two, 1, 2, 4))
-    return rank[of] + 1, len(rows)
+    own = records[both, 3]
+    rank[both] += below(own, own)
+    a, b = keys(pick(zero, 1, 3), pick(one, 1, 4))
+    rank[zero] += below(a, a) + below(a, b)
+    rank[one] += below(b, a)
+    a, b = keys(pick(zero, 1, 2, 4), pick(two, 1, 2, 4))
+    rank[zero] += below(a, b)
+    rank[two] += below(b, a)
+    return rank, len(records)
 
 
 def merging(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +303,7 @@ def windows(row: Row, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def neighbours(records: np.ndarray) -> tuple[np.ndarray, int]:
     """1 for each suffix with a neighbour in the order that begins with the same bytes, else 0."""
     rank, _ = order_of(records[:, :5])
-    order = np.lexsort((records[:, 5], rank))
+    order = np.argsort(rank)  # equal ranks tell equal bytes
     same = records[order, 5][1:] == records[order, 5][:-1]
     out = np.zeros(len(records), np.int64)
     out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
@@ -306,7 +324,8 @@ def repeated(state: Table, depth: int, buckets: int) -> Table:
             for row in batch.to_pylist():
                 strings, data = text_of(row)
                 at = (textbytes.mix(np.arange(draw, dtype=np.uint64) + np.uint64(row["place"] << 20)) % np.uint64(max(1, len(data)))).astype(np.int64) if len(data) else np.zeros(0, np.int64)
-                drawn = np.stack([prefix_word(data, strings.ends, at, w) for w in range(words)], 1).view(np.int64) if len(at) else np.zeros((0, words), np.int64)
+                eights, end = words_of(data), ends_of(strings.ends, at)
+                drawn = np.stack([prefix_word(eights, end, at, w) for w in range(words)], 1).view(np.int64) if len(at) else np.zeros((0, words), np.int64)
                 yield pa.RecordBatch.from_pydict({"words": pa.array([x.tobytes() for x in drawn], pa.binary())})
 
     found = [np.frombuffer(r[0], np.uint64) for r in state.df.mapInArrow(some, "words binary").collect()]

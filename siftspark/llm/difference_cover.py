@@ -243,14 +243,21 @@ def text_of(row: Row) -> tuple[Strings, np.ndarray]:
     return Strings(unpacked(row["lens"])), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
 
 
-def symbols(row: Row, level: Strings, data: np.ndarray, k: int) -> np.ndarray:
-    return level.padded(data.astype(np.int64) + 1 if k == 0 else unpacked(row["names"][k - 1]))
+def symbols(row: Row, strings: Strings, level: Strings, data: np.ndarray, k: int) -> np.ndarray:
+    """Symbols of level k. Those of level 1 need no sort, as a triple of bytes is a number, and are not kept; names has those from level 2 on."""
+    if k > 1:
+        return level.padded(unpacked(row["names"][k - 2]))
+    s = strings.padded(data.astype(np.int64) + 1)
+    if k == 0:
+        return s
+    at = strings.sampled()
+    return level.padded((s[at] * 257 + s[at + 1]) * 257 + s[at + 2] + 1)
 
 
 def triples(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
     strings, data = text_of(row)
     level = strings.level(k)
-    s, at = symbols(row, level, data, k), level.sampled()
+    s, at = symbols(row, strings, level, data, k), level.sampled()
     return np.stack([s[at], s[at + 1], s[at + 2]], 1), level.position[at]
 
 
@@ -281,7 +288,7 @@ def merging(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of level k: residue 0 (0, s0, s1, rank of i + 1, of i + 2), 1 (1, s0, s1, own rank, of i + 1), 2 (2, s0, s1, own rank, of i + 2); and its position."""
     strings, data = text_of(row)
     level = strings.level(k)
-    s = symbols(row, level, data, k)
+    s = symbols(row, strings, level, data, k)
     rank = np.zeros(len(s), np.int64)
     rank[level.sampled()] = unpacked(row["ranks"])
     at, c = level.place, level.residue()
@@ -339,18 +346,11 @@ def repeated(state: Table, depth: int, buckets: int) -> Table:
         rows, of, many = distinct(np.concatenate([bucket[:, None], records], 1))
         return rows[:, 1:], rows[:, 0], of, many
 
-    # Names of level 1 need no sort: a triple of bytes is a number.
     top = 1
     while 3 ** (top + 1) < depth:
         top += 1
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            names = [triples(r, 0)[0] @ np.array([257 * 257, 257, 1]) + 1 for r in rows]
-            yield pa.RecordBatch.from_pylist([r | {"names": [packed(n)], "ranks": None} for r, n in zip(rows, names)], pa.schema([("place", pa.int64()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary()), ("names", pa.list_(pa.binary())), ("ranks", pa.binary())]))
-
-    now = Table(state.df.mapInArrow(start, STATE), "level-1")
+    now = Table(state.df.withColumns({"names": F.array().cast("array<binary>"), "ranks": F.lit(None).cast("binary")}), "level-1")
 
     def step(ask, columns, answer, take, schema, label):
         nonlocal now
@@ -374,7 +374,7 @@ def repeated(state: Table, depth: int, buckets: int) -> Table:
             return ranged(row, *merging(row, k))
 
         def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = k) -> Row:
-            return row | {"ranks": packed(reply[of]), "names": row["names"][: k - 1]}
+            return row | {"ranks": packed(reply[of]), "names": row["names"][: max(0, k - 2)]}
 
         step(ask, 5, order_of, take, STATE, f"ranks-{k}")
 

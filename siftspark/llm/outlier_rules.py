@@ -19,11 +19,12 @@ from siftspark.llm.common import SPACE, let, small, staged
 H, STEPS, LEAST = 0.75, 4, 50
 #: Consistency factor of the covariance of the nearest H for five normal variables.
 FACTOR = 1.412
-#: Squared distance beyond which a row goes. Statistics of clean prose have far longer tails than the normal
-#: distribution, so this is well above its 0.999 quantile (20.5 for five variables).
-CUTOFF = 80.0
-#: Spread below which a statistic's differences don't count: added, squared, to the variances.
-FLOOR = (0.06, 0.05, 0.10, 0.10, 0.06)
+#: Squared distance beyond which a row goes. Statistics of clean prose have longer tails than the normal distribution,
+#: so this is above its 0.999 quantile (20.5 for five variables).
+CUTOFF = 30.0
+#: Spread below which a statistic's differences don't count: added, squared, to the variances. Each is small enough
+#: that its statistic alone can pass CUTOFF; repeated words reach only the square root of 0.2, as the base rule ends there.
+FLOOR = (0.06, 0.05, 0.10, 0.07, 0.06)
 #: Bins of a factor e of the squared distance; they hold the quantile of a group in bounded space.
 BINS = 100
 P = len(FLOOR)

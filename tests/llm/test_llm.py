@@ -173,6 +173,17 @@ def test_outliers(spark):
     assert outlier_rules.outliers(docs.limit(0)).count() == 0
 
 
+def test_outliers_each_statistic(spark):
+    """Repeated lines alone, and repeated words alone within the base rule, make an outlier."""
+    unique = [f"u{10_000 + k}" for k in range(400)]
+    lines = "\n".join(" ".join([*unique[6 * k : 6 * k + 6], "\nsame"]) for k in range(40))
+    words = " ".join([*unique[:41], *unique[100:109], *unique[200:241], *unique[100:109]])
+    docs = frame(spark, [*[prose(s, 80) for s in range(120)], lines, words]).withColumn("lang", F.lit("en"))
+    rows = {r["doc_id"]: r for r in outlier_rules.outliers(docs).collect()}
+    assert (rows[120]["n_dup_lines"], rows[120]["n_repeat_words"], rows[121]["n_repeat_words"]) == (39, 0, 18)
+    assert [i for i in range(122) if not rows[i]["kept"]] == [120, 121] and not any(r["base_failed"] for r in rows.values())
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.b", "/x", "block")], "host string, path string, verdict string")
     urls = ["http://WWW.Example.net/en/1?q#f", "http://example.net", "ftp://notnet/", "http://x.net/en/", None, "no scheme/net/", "http://c.a.b/xyz/1", "http://a.b/X", "://net/", "http://net:80/"]

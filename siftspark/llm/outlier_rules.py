@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftspark.llm.common import SPACE, let, small, staged
 
-#: Share of a group's rows that a concentration step keeps, steps, and rows under which a group is pooled by language.
+#: Share of a group's rows that a concentration step keeps, steps, and rows under which a group is judged by its language, a language by all rows.
 H, STEPS, LEAST = 0.75, 4, 50
 #: Consistency factor of the covariance of the nearest H for five normal variables.
 FACTOR = 1.412
@@ -111,19 +111,25 @@ def estimates(rows: DataFrame, groups: int) -> DataFrame:
 def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    Groups of under LEAST rows are pooled by language; in pools as small, the method keeps every row. Null language or
-    source count as ''. A null text counts as empty (and fails the base rules, as n_words < 10). Repeated rows are
+    Groups of under LEAST rows that pass the base rules are judged by the estimate over all rows of their language, and
+    languages of under LEAST such rows by that over all rows. Null language or source count as ''. A null text counts as empty (and fails the base rules, as n_words < 10). Repeated rows are
     judged each. Rows that fail the base rules don't take part in the estimates. Other columns are ignored.
     """
     stats = statistics(docs, id_col, text_col, lang_col, source_col)
     rows = staged(vectors(stats).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "stats")
     sizes = staged(rows.groupBy("grp", "language").agg(F.count_if(~F.col("base_failed")).alias("n")), "sizes")
     groups = sizes.count()
-    pooled = sizes.select(F.col("grp").alias("of"), F.when(F.col("n") < LEAST, F.col("language")).otherwise(F.col("grp")).alias("pool"))
-    keyed = rows.join(small(pooled, groups, 100), rows["grp"] == pooled["of"]).drop("of", "grp").withColumnRenamed("pool", "grp")
-    ends = sizes.withColumn("grp", F.when(F.col("n") < LEAST, F.col("language")).otherwise(F.col("grp"))).groupBy("grp").agg(F.sum("n").alias("pool_n"))
-    found = estimates(keyed.filter(~F.col("base_failed")), groups).join(ends.filter(F.col("pool_n") >= LEAST), "grp", "left_semi")
-    judged = distance(keyed.join(small(found, groups, 300), "grp", "left"))
+    languages = sizes.groupBy("language").agg(F.sum("n").alias("language_n"), F.min("n").alias("least"))
+    rare = not languages.filter(F.col("language_n") < LEAST).isEmpty()
+    known = sizes.join(small(languages, groups, 100), "language")
+    judge = F.when(F.col("n") >= LEAST, F.col("grp")).when(F.col("language_n") >= LEAST, F.col("language")).otherwise("")
+    # A row is judged by one estimate, and takes part in that of its group, and of its language and all rows where those judge others.
+    part = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("grp")), F.when((F.col("least") < LEAST) & (F.col("language_n") >= LEAST), F.col("language")), F.when(F.lit(rare), F.lit(""))))
+    pooled = staged(known.select(F.col("grp").alias("of"), judge.alias("pool"), part.alias("part")), "pools")
+    keyed = rows.join(small(pooled, groups, 300), rows["grp"] == pooled["of"]).drop("of", "grp")
+    found = estimates(keyed.filter(~F.col("base_failed")).select(F.explode("part").alias("grp"), *X), 2 * groups + 1)
+    keyed = keyed.drop("part").withColumnRenamed("pool", "grp")
+    judged = distance(keyed.join(small(found, 2 * groups + 1, 300), "grp", "left"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"),

@@ -184,6 +184,19 @@ def test_outliers_each_statistic(spark):
     assert [i for i in range(122) if not rows[i]["kept"]] == [120, 121] and not any(r["base_failed"] for r in rows.values())
 
 
+def test_outliers_small_groups(spark):
+    """A rare source beside a large one, and a rare language, are judged too."""
+    bad = "### $$$ %%% " * 40
+    texts = [prose(s, 80) for s in range(60)] + [prose(60, 80), f"{prose(61, 200)} {' '.join(f'#{k}' for k in range(150))}"] * 2
+    rows = [(i, t, "en" if i < 62 else "xx", "big" if i < 60 else "rare") for i, t in enumerate(texts)] + [(64, bad, "xx", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = {r["doc_id"]: r for r in outlier_rules.outliers(docs).collect()}
+    assert [i for i in range(65) if not rows[i]["kept"]] == [61, 63, 64] and [i for i in rows if rows[i]["base_failed"]] == [64]
+    assert all(r["distance"] is not None for r in rows.values())
+    few = {r["doc_id"]: r["kept"] for r in outlier_rules.outliers(docs.filter("doc_id between 40 and 61")).collect()}
+    assert [i for i in few if not few[i]] == [61]
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.b", "/x", "block")], "host string, path string, verdict string")
     urls = ["http://WWW.Example.net/en/1?q#f", "http://example.net", "ftp://notnet/", "http://x.net/en/", None, "no scheme/net/", "http://c.a.b/xyz/1", "http://a.b/X", "://net/", "http://net:80/"]

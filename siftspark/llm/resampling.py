@@ -21,7 +21,7 @@ from siftspark.llm.common import staged
 BUCKETS, PSEUDO = 1 << 14, 1.0
 #: Most labelled rows that are used: half for the target model, half to set k. The bound of the broadcast, too.
 SAMPLE = 20_000
-#: Share of the labelled good rows held out that may lie under the cut which sets k.
+#: Share of the labelled good rows held out that may lie under the cut, of weight per n-gram, which sets k.
 MISS = 0.002
 #: Bins of the search for the k-th key, and keys that the driver may see at its end.
 BINS = 4096
@@ -123,7 +123,7 @@ def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", t
     """One row per input row: doc_id, n_features, log_weight, key, kept.
 
     good: condition on a label row. share: the share of the rows to draw; without it, k is the number of rows whose log
-    weight reaches the `miss` quantile of the labelled good rows held out. Without any such row, all rows are kept.
+    weight per n-gram reaches the `miss` quantile of the labelled good rows held out, so that length doesn't set it. Without any such row, all rows are kept.
     Rows whose keys equal the k-th are all kept (repeated rows have equal keys). A null or empty text has weight 0;
     rows without id or label are weighed like others. Other columns are ignored.
     """
@@ -136,11 +136,12 @@ def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", t
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "n_features", "log_weight"), 11).cast("double") + 0.5) * 2.0**-53
     scored = staged(weighed(marked, ratio if fitted else np.zeros(BUCKETS)).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     total = scored.count()
-    held = [r[0] for r in scored.filter("role = 1").select("log_weight").limit(2 * SAMPLE).collect()]
+    mean = F.col("log_weight") / F.greatest("n_features", F.lit(1))
+    held = [r[0] for r in scored.filter("role = 1").select(mean).limit(2 * SAMPLE).collect()]
     if share is not None:
         k = round(share * total)
     elif held and fitted:
-        k = scored.filter(F.col("log_weight") >= float(np.quantile(held, miss))).count()
+        k = scored.filter(mean >= float(np.quantile(held, miss))).count()
     else:
         k = total
     least = kth_largest(scored, k, total)

@@ -157,6 +157,18 @@ def test_resampling(spark):
     assert resampling.resample(docs.limit(0), labels, F.col("quality") == 1).count() == 0
 
 
+def test_resampling_length(spark):
+    """A few long good rows with many odd words, and so a low sum, don't let short bad rows in."""
+    bad = lambda s, n: " ".join(f"{w}###" for w in prose(s, n).split())
+    good = [prose(s, 300) for s in range(190)] + [f"{prose(s, 4_000)} {bad(s, 150)}" for s in range(190, 200)]
+    docs = frame(spark, [*good, *[bad(s, 6) for s in range(300, 340)], *[bad(s, 300) for s in range(400, 440)]])
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in resampling.resample(docs, labels, F.col("quality") == 1).collect()}
+    low = min(rows[i]["log_weight"] for i in range(190, 200))
+    assert all(rows[i]["log_weight"] > low for i in range(200, 240))
+    assert sum(r["kept"] for r in rows.values()) <= 202
+
+
 def test_outliers(spark):
     texts = [prose(s, 80) for s in range(120)] + ["### $$$ %%% " * 40 + prose(s, 100) for s in range(6)] + ["same line here\n" * 30, "", None, "short"]
     docs = frame(spark, texts).withColumn("lang", F.lit("en"))

@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 from siftspark.llm.common import let
 
-#: Turn numbers of one sample; a longer dialogue is rendered in parts, so no group grows without bound.
+#: Turn numbers of a part in the SQL, which splits longer dialogues; the operator renders them whole.
 TURNS = 1_000
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", span: int = TURNS, system: str = "system") -> DataFrame:
-    """One row per (conversation, part, participant): conv_id, part, speaker, n_turns, n_own_turns, text, spans, n_target_chars.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
+    """One row per (conversation, participant): conv_id, part, speaker, n_turns, n_own_turns, text, spans, n_target_chars.
 
-    A participant is a role other than `system` that speaks in the part. In its perspective its turns are headed
+    A participant is a role other than `system` that speaks in the conversation; each row has the whole of it. In its perspective its turns are headed
     `assistant`, the system's `system`, all others `user name=<role>`; spans are the (start, end) code points of its
-    own turns with their end marks, the only ones with a loss mask of 1. part is floor(turn / span).
+    own turns with their end marks, the only ones with a loss mask of 1. part is 0.
     Turns go by number, then role, then text. A repeated row is rendered once. A null role is the role '', a null
-    text is empty, a null turn comes first in part 0, a null conversation is a conversation of its own.
+    text is empty, a null turn comes first, a null conversation is a conversation of its own.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / span), F.lit(0)).cast("long").alias("part"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).alias("said"),
     )
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set("said")).alias("said"))
+    whole = rows.groupBy("conv_id").agg(F.lit(0).cast("long").alias("part"), F.sort_array(F.collect_set("said")).alias("said"))
     people = F.array_distinct(F.filter(F.transform("said", lambda x: x["role"]), lambda r: r != system))
-    each = parts.select("*", F.explode(F.array_sort(people)).alias("speaker"))
+    each = whole.select("*", F.explode(F.array_sort(people)).alias("speaker"))
     head = lambda x: F.when(x["role"] == F.col("speaker"), "assistant").when(x["role"] == system, system).otherwise(F.concat(F.lit("user name="), x["role"]))
     pieces = F.transform("said", lambda x: F.struct(F.concat(F.lit("<|im_start|>"), head(x), F.lit("\n")).alias("head"), F.concat(x["text"], F.lit("<|im_end|>")).alias("body"), (x["role"] == F.col("speaker")).alias("own")))
     each = each.select("conv_id", "part", "speaker", pieces.alias("pieces"))

@@ -316,6 +316,16 @@ def test_perspectives(spark):
     assert perspectives.rotate(turns.limit(0)).count() == 0
 
 
+def test_perspectives_long(spark):
+    """A dialogue of more than 1,000 turn numbers is rendered whole for everyone, its system turn too."""
+    turns = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), *[(1, k, "bob", f"b{k}") for k in range(2, 2_500)]]
+    rows = {r["speaker"]: r for r in perspectives.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(rows) == {"ann", "bob"} and {r["n_turns"] for r in rows.values()} == {2_500}
+    ann, bob = rows["ann"], rows["bob"]
+    assert ann["text"].startswith("<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\nhi") and ann["text"].endswith("<|im_start|>user name=bob\nb2499<|im_end|>\n")
+    assert [bob["text"][a:b] for a, b in bob["spans"]] == [f"b{k}<|im_end|>" for k in range(2, 2_500)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

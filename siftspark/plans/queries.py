@@ -197,8 +197,7 @@ both_parts AS (SELECT id, path, kws, NULL::DOUBLE AS score, NULL AS snippet, 0 A
   UNION ALL SELECT f.id, f.path, [], n.score, n.snippet, 1, NULL FROM near n JOIN files f ON f.id = n.file_id WHERE {pass_sql(['.txt', '.md', '.pdf'], None)})
 SELECT id, path, array_to_string(kws, ',') AS matched_keywords, round(score, 6) AS semantic_score, snippet, row_number() OVER (ORDER BY part, at_rank, score DESC, id)::INTEGER AS rank FROM both_parts ORDER BY rank LIMIT 50""")
 def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = tables.bodies(spark, sf_dir).withColumn("text", F.lit(None).cast("string"))
-    found = hybrid.hybrid_search(tables.files(spark, sf_dir), none, ["doc_12", "doc_9"], [".txt", ".md", ".pdf"], None, NOW, chunks=tables.chunks(spark, sf_dir), query=tables.query_vector(spark, sf_dir), min_score=MIN_SCORE)
+    found = hybrid.hybrid_search(tables.files(spark, sf_dir), tables.bodies(spark, sf_dir), ["doc_12", "doc_9"], [".txt", ".md", ".pdf"], None, NOW, chunks=tables.chunks(spark, sf_dir), query=tables.query_vector(spark, sf_dir), min_score=MIN_SCORE)
     return found.select("id", "path", F.array_join("matched_keywords", ",").alias("matched_keywords"), "semantic_score", "snippet", "rank")
 
 

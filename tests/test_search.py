@@ -123,3 +123,14 @@ def test_semantic_edges(spark):
     assert placed.filter("cluster_id is null").count() == 1 and np.allclose([np.linalg.norm(c) for _, c in centroids], 1)
     assert semantic.choose_k(10) == 8 and semantic.choose_k(10**9) == 1024 and semantic.nprobe_for(64) == 8
     assert stats.due(0, None, 0) and not stats.due(5, 0.0, 10.0) and stats.scan_due(None, 10, 0, False)
+
+
+def test_hybrid_full_bodies(spark, monkeypatch):
+    """A document with a keyword only in its text is a keyword result."""
+    from siftspark.plans import queries, tables
+
+    bodies = tables.bodies
+    monkeypatch.setattr(tables, "bodies", lambda spark, sf_dir: bodies(spark, sf_dir).withColumn("text", F.when(F.col("file_id") == 32, "see doc_12").otherwise(F.col("text"))))
+    rows = {r["id"]: r for r in queries.QUERIES["hybrid_full"](spark, "/root/testdata/sf0.001").collect()}
+    assert 12 in rows and rows[12]["matched_keywords"] == "doc_12"
+    assert 32 in rows and rows[32]["matched_keywords"] == "doc_12"

@@ -1,21 +1,27 @@
-"""Distributed difference-cover sort of all suffixes of many texts, to a given depth.
-
-Texts are dealt to places (rows of a table, each with the bytes of some texts). Level 0 is the bytes; of every level's
-string the suffixes that begin at i mod 3 = 1 or 2 are sampled, their triples of symbols sorted and named, and the names,
-those of i mod 3 = 1 before those of 2, are the string of the next level. A name of level k tells 3 ** k bytes, so the
-recursion ends once names tell `depth` bytes. On the way back the remaining suffixes (i mod 3 = 0) are merged with the
-sampled ones, whose ranks are known, by their first one or two symbols and the rank of the sampled suffix that follows.
-At level 0 neighbours in the order are compared by the hash of their first `depth` bytes.
-
-Suffixes that are equal in the first `depth` bytes may have any order among each other, but stand together: a rank
-never contradicts the order of the first `depth` bytes.
-
-Every step asks the same way: places deal distinct records to buckets, which are ranges of the order; a bucket answers
-every place's records in the order they came in, and its numbers are moved by the count of those in buckets before it.
-A passage that all texts share makes one record a place, not one a text.
-
-Splitters of the ranges are drawn by a hash of the position, OVERSAMPLE a bucket, and collected: they grow with the
-number of buckets (BUCKET_BYTES of text each), by some 200 bytes each, not with the records.
+"""Distributed difference-cover sort of suffixes of many texts, to a given depth, over content-defined symbols.
+
+Of the GRAM-byte grams in every stretch of `span` positions the one with the least hash is an anchor. A text's string has
+a symbol for each anchor: the rank of the `word` = span + GRAM bytes from there, among all such words in the order of
+their bytes. As a word tells where the next anchor is, words at the anchors, one after another, order suffixes just as
+their bytes do, and equal texts of `depth` bytes have equal anchors, whatever stands around them.
+
+1. Words are ranked by a range sort of the distinct ones (ranked_words).
+2. Difference cover: of every level's string the suffixes that begin at i mod 3 = 1 or 2 are sampled, their triples of
+   symbols sorted and named; the names, those of i mod 3 = 1 before those of 2, are the string of the next level. The
+   recursion ends once every name tells `depth` bytes. On the way back the remaining suffixes (i mod 3 = 0) are merged
+   with the sampled ones, whose ranks are known, by their first one or two symbols and the rank of the sampled suffix that follows.
+3. The suffixes that begin between anchors are those of an anchor with up to span - 1 bytes in front of it. In the order
+   of step 2 adjacent anchors are compared byte by byte; so are the bytes in front of anchors, in the order of these
+   read backwards. Two strings of `depth` bytes are equal if they lie in one run of either order that is long enough.
+
+Suffixes that are equal in the first `depth` bytes may have any order among each other, but stand together. Nothing is
+judged by a hash: words, names and neighbours are compared as they are.
+
+Every step asks the same way: places (rows with some texts each) deal distinct records to buckets, which are ranges of
+the order of about GROUP symbols; a bucket answers every place's records in the order they came in, and its numbers are
+moved by the count of those in buckets before it. A word that GROUP anchors or more have gets a range of its own, which is
+split by the word that follows. A passage that all texts share makes one record a place, not one a text. The driver
+sees counts of ranges of the word sort only, and the least number of bytes that a level's names tell.
 """
 
 from __future__ import annotations
@@ -27,14 +33,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import shared_dir
+from siftspark.llm.common import shared_dir, shuffle_width, small
+
+GRAM = 8
+#: Symbols of a range of the order, about.
+GROUP = 1 << 15
+DEALT = "place long, bucket long, records binary, n long"
+#: Spark's setting that deletes a query's shuffle files when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-OVERSAMPLE = 32
-DEALT = "place long, bucket int, records binary, n long"
+
+def span_of(depth: int) -> int:
+    """Positions of which one is an anchor at least. Any anchor with the bytes behind it that a string of `depth` bytes holds tells its own word and the next anchor's."""
+    return min(64, (depth - GRAM) // 3)
 
 
 class Table:
@@ -42,7 +58,12 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str) -> None:
         self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -94,11 +115,10 @@ def keys(*tables: np.ndarray) -> list[np.ndarray]:
 
 
 class Strings:
-    """Lengths, places and text positions of the strings of each level, from the texts' lengths alone. Each string has three zeros behind it."""
+    """Lengths, places and anchors of the strings of each level, from the number of each text's anchors alone. Each string has three zeros behind it."""
 
     def __init__(self, lens: np.ndarray) -> None:
         self.lens = lens
-        self.ends = np.cumsum(lens)
         self.place = self.spread(lens)
         self.position = np.full(int((lens + 3).sum()), int(lens.sum()))
         self.position[self.place] = np.arange(int(lens.sum()))
@@ -128,56 +148,77 @@ class Strings:
         out = object.__new__(Strings)
         out.lens = (self.lens + 2) // 3 + (self.lens + 1) // 3
         out.place = self.spread(out.lens)
-        out.position = np.full(int((out.lens + 3).sum()), self.ends[-1] if len(self.ends) else 0)
+        out.position = np.full(int((out.lens + 3).sum()), self.position[-1] if len(self.position) else 0)
         out.position[out.place] = self.position[self.sampled()]
-        out.ends = self.ends
         return out
 
     def level(self, k: int) -> Strings:
         return self if k == 0 else self.next().level(k - 1)
 
 
-def words_of(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, and none behind the last, as big-endian numbers with zeros behind the data."""
-    padded = np.zeros(len(data) + 8, np.uint64)
+def least_in(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` consecutive values."""
+    done = 1
+    while done * 2 <= width:
+        x, done = np.minimum(x[:-done], x[done:]), done * 2
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
+
+
+def grams_of(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position on, with zeros behind the data."""
+    padded = np.zeros(len(data) + GRAM, np.uint8)
     padded[: len(data)] = data
-    out = np.zeros(len(data) + 1, np.uint64)
-    for b in range(8):
-        out = out << np.uint64(8) | padded[b : b + len(out)]
-    return out
+    out = np.zeros(len(data), np.uint64)
+    for b in range(GRAM):
+        out = out << np.uint64(8) | padded[b : b + len(data)]
+    return textbytes.mix(out)
 
 
-def prefix_word(words: np.ndarray, end: np.ndarray, position: np.ndarray, w: int) -> np.ndarray:
-    """Bytes 8 w to 8 w + 8 behind each position as a big-endian number, with zeros behind its text's end."""
-    at = position + 8 * w
-    gone = np.uint64(8) * np.clip(8 - (end - at), 0, 7).astype(np.uint64)
-    return np.where(at < end, words[np.minimum(at, len(words) - 1)] >> gone << gone, np.uint64(0))
+def anchors_of(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """(position, first, last) of every anchor of texts of `depth` bytes or more: it is that of the strings of `depth` bytes that begin at first to last (none if last < first)."""
+    span = span_of(depth)
+    if len(data) < span:
+        return np.zeros((0, 3), np.int64)
+    marked = grams_of(data) >> np.uint64(32) << np.uint64(32) | np.arange(len(data), dtype=np.uint64)
+    start = np.arange(len(data) - span + 1)
+    end = ends[np.searchsorted(ends, start, "right")]
+    inside = start + span + GRAM - 1 <= end
+    start, end = start[inside], end[inside]
+    at = (least_in(marked, span) & np.uint64(0xFFFFFFFF)).astype(np.int64)[inside]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return np.stack([at[first], start[first], np.minimum(start[last], end[last] - depth)], 1)
 
 
-def ends_of(ends: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """The end of each position's text; behind the last text, that position's own."""
-    return np.append(ends, ends[-1] if len(ends) else 0)[np.searchsorted(ends, position, "right")]
+def slices(data: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Rows of `width` bytes from each position on, which may be before or behind the data: zeros there."""
+    padded = np.zeros(len(data) + 2 * width, np.uint8)
+    padded[width : width + len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[np.clip(begin, -width, len(data)) + width]
 
 
-def range_of(data: np.ndarray, ends: np.ndarray, position: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """How many splitters (rows of words) are smaller than the text behind each position."""
-    low, high = np.zeros(len(position), np.int64), np.full(len(position), len(splitters))
-    left = np.arange(len(position)) if len(splitters) else np.zeros(0, np.int64)
-    words, end = words_of(data), ends_of(ends, position)
-    for w in range(splitters.shape[1]):
-        if not len(left):
-            break
-        if w:
-            left = left[np.argsort(low[left] * (len(splitters) + 1) + high[left], kind="stable")]
-        word = prefix_word(words, end[left], position[left], w)
-        a, b = low[left].copy(), high[left].copy()
-        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
-        for s, e in zip(cut[:-1], cut[1:]):
-            part = splitters[a[s] : b[s], w]
-            low[left[s:e]] = a[s] + np.searchsorted(part, word[s:e], "left")
-            high[left[s:e]] = a[s] + np.searchsorted(part, word[s:e], "right")
-        left = left[low[left] < high[left]]
-    return low
+def cut_off(rows: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """rows with zeros from each one's room on."""
+    short = np.flatnonzero(room < rows.shape[1])
+    rows[short] *= np.arange(rows.shape[1]) < room[short, None]
+    return rows
+
+
+def words_of(data: np.ndarray, ends: np.ndarray, at: np.ndarray, width: int, skip: int = 0) -> np.ndarray:
+    """The `width` bytes from `skip` behind each position on, with zeros behind its text's end."""
+    return cut_off(slices(data, at + skip, width), ends[np.searchsorted(ends, at, "right")] - at - skip)
+
+
+def numbers(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit numbers."""
+    out = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.int64)
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 Row = dict[str, object]
@@ -196,15 +237,24 @@ def dealt(state: DataFrame, ask: Ask) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 used, cut = np.unique(bucket[order], return_index=True)
                 blobs = [packed(records[order[a:b]]) for a, b in zip(cut, np.append(cut[1:], len(order)))]
-                yield pa.RecordBatch.from_pydict({"place": pa.array([row["place"]] * len(used), pa.int64()), "bucket": pa.array(used, pa.int32()), "records": pa.array(blobs, pa.binary()), "n": pa.array([0] * len(used), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"place": pa.array([row["place"]] * len(used), pa.int64()), "bucket": pa.array(used, pa.int64()), "records": pa.array(blobs, pa.binary()), "n": pa.array([0] * len(used), pa.int64())})
 
     return state.mapInArrow(run, DEALT)
 
 
-def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[..., Row], schema: str, label: str) -> Table:
+def offsets(answered: DataFrame) -> DataFrame:
+    """(bucket, before): the sum of the answers' counts over all smaller buckets, in two levels of ranges."""
+    counts = answered.groupBy("bucket").agg(F.max("n").alias("n")).withColumn("upper", F.shiftright("bucket", 39))
+    below = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    upper = counts.groupBy("upper").agg(F.sum("n").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(below(F.lit(0)).orderBy("upper")), F.lit(0)))
+    inner = counts.withColumn("inner", F.coalesce(F.sum("n").over(below("upper").orderBy("bucket")), F.lit(0)))
+    return inner.join(upper.select("upper", "base"), "upper").select("bucket", (F.col("base") + F.col("inner")).alias("before"))
+
+
+def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[..., Row], schema: str, label: str, moved: bool = False) -> Table:
     """Ask buckets for numbers of the records of each place, and make the place's new row of its old one and the answers.
 
-    answer(records) gives a number for each record of a bucket, and by how much the numbers of later buckets move.
+    answer(records) gives a number for each record of a bucket, and by how much the numbers of later buckets move, if they are moved.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -215,9 +265,12 @@ def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndar
         return pa.table({"place": table["place"], "bucket": table["bucket"], "records": pa.array(blobs, pa.binary()), "n": pa.array([n] * len(blobs), pa.int64())})
 
     answered = Table(dealt(state, ask).groupBy("bucket").applyInArrow(run, DEALT), f"{label}-answers")
-    before, moved = {}, 0
-    for bucket, n in sorted(tuple(r) for r in answered.df.groupBy("bucket").agg(F.max("n")).collect()):
-        before[bucket], moved = moved, moved + n
+    if moved:
+        before = offsets(answered.df)
+        replies = answered.df.join(small(before, before.count(), 32), "bucket")
+    else:
+        replies = answered.df.withColumn("before", F.lit(0).cast("long"))
+    replies = replies.select("place", "bucket", "records", "before")
     types = state.sparkSession.createDataFrame([], schema).schema
 
     def receive(mine: pa.Table, replies: pa.Table) -> pa.Table:
@@ -225,42 +278,122 @@ def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndar
         for row in mine.to_pylist():
             records, bucket, *context = ask(row)
             order, reply = np.argsort(bucket, kind="stable"), np.zeros(len(records), np.int64)
-            got = sorted(zip(replies["bucket"].to_pylist(), replies["records"].to_pylist()))
-            reply[order] = np.concatenate([np.zeros(0, np.int64), *[unpacked(x) + before[b] for b, x in got]])
+            got = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "records", "before"))))
+            reply[order] = np.concatenate([np.zeros(0, np.int64), *[unpacked(x) + n for _, x, n in got]])
             out.append(take(row, reply, *context))
         return pa.Table.from_pylist(out, arrow)
 
     arrow = pa.schema([(f.name, {"bigint": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}[f.dataType.simpleString()]) for f in types])
-    done = Table(state.groupBy("place").cogroup(answered.df.groupBy("place")).applyInArrow(receive, schema), label)
+    done = Table(state.groupBy("place").cogroup(replies.groupBy("place")).applyInArrow(receive, schema), label)
     answered.drop()
     return done
 
 
-STATE = "place long, starts binary, lens binary, data binary, names array<binary>, ranks binary"
+TEXTS = "place long, starts binary, lens binary, data binary, anchors binary, many binary"
+STATE = "place long, many binary, at binary, bucket binary, names array<binary>, ranks binary, told long"
+
+
+def text_of(row: Row) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a place's texts, and where each ends."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8), np.cumsum(unpacked(row["lens"]))
 
 
-def text_of(row: Row) -> tuple[Strings, np.ndarray]:
-    return Strings(unpacked(row["lens"])), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
+def with_anchors(place: int, starts: np.ndarray, lens: np.ndarray, data: bytes, depth: int) -> Row:
+    """A row of TEXTS: texts of `depth` bytes or more, and where each starts in the place's input."""
+    ends = np.cumsum(lens)
+    found = anchors_of(np.frombuffer(data, np.uint8), ends, depth)
+    many = np.bincount(np.searchsorted(ends, found[:, 0], "right"), minlength=len(lens))
+    return {"place": place, "starts": packed(starts), "lens": packed(lens), "data": zstandard.ZstdCompressor(1).compress(data), "anchors": packed(found), "many": packed(many)}
 
 
-def symbols(row: Row, strings: Strings, level: Strings, data: np.ndarray, k: int) -> np.ndarray:
-    """Symbols of level k. Those of level 1 need no sort, as a triple of bytes is a number, and are not kept; names has those from level 2 on."""
-    if k > 1:
-        return level.padded(unpacked(row["names"][k - 2]))
-    s = strings.padded(data.astype(np.int64) + 1)
-    if k == 0:
-        return s
-    at = strings.sampled()
-    return level.padded((s[at] * 257 + s[at + 1]) * 257 + s[at + 2] + 1)
+def ranked_words(texts: DataFrame, depth: int) -> Table:
+    """STATE of each place: symbols of its anchors (the first of names) and their buckets.
+
+    Distinct words are sorted by Spark's range partitioning; a word's symbol is its place in the order, and its range is
+    told by the number of anchors whose words are smaller. bucket is the word's range, above 2 ** 31, and below it for
+    words that GROUP anchors have one more than the range of the word that follows; so buckets are in the order, too.
+    """
+    spark, word = texts.sparkSession, span_of(depth) + GRAM
+
+    def own(row: Row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, ends = text_of(row)
+        words = words_of(data, ends, unpacked(row["anchors"], 3)[:, 0], word)
+        _, of, many = distinct(numbers(words))
+        return words[np.unique(of, return_index=True)[1]], of, many
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                words, _, many = own(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["place"])), pa.array(np.arange(len(words))), binaries(words), pa.array(many)], ["place", "nth", "word", "many"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                many = batch.column(1).to_numpy()
+                upto = before + np.cumsum(many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(many), part)), batch.column(0), batch.column(1), pa.array(np.arange(nth, nth + len(many))), pa.array(upto - many)], ["part", "word", "many", "rank", "smaller"])
+                nth, before = nth + len(many), int(upto[-1])
+
+    rows = texts.mapInArrow(asked, "place long, nth long, word binary, many long")
+    found = rows.groupBy("word").agg(F.sum("many").alias("many")).repartitionByRange(shuffle_width(spark), "word").sortWithinPartitions("word")
+    known = Table(found.mapInArrow(numbered, "part long, word binary, many long, rank long, smaller long"), "words")
+    sizes = sorted(tuple(r) for r in known.df.groupBy("part").agg(F.count(F.lit(1)), F.sum("many")).collect())  # a row for each range
+    bases = np.cumsum([(0, 0), *[r[1:] for r in sizes]], 0)[:-1].tolist()
+    base = spark.createDataFrame([(r[0], *b) for r, b in zip(sizes, bases)], "part long, words_before long, anchors_before long")
+    smaller = F.col("smaller") + F.col("anchors_before")
+    group = (F.floor(smaller / GROUP) + 1) * 2 + (F.col("many") >= GROUP).cast("long")
+    symbols = known.df.join(F.broadcast(base), "part").select("word", (F.col("rank") + F.col("words_before") + 1).alias("symbol"), group.alias("grp"))
+    answers = rows.join(symbols, "word").select("place", "nth", "symbol", "grp")
+
+    def receive(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        nth = replies["nth"].to_numpy()
+        got = np.zeros((2, len(nth)), np.int64)
+        got[0, nth], got[1, nth] = replies["symbol"].to_numpy(), replies["grp"].to_numpy()
+        for row in mine.to_pylist():
+            _, of, _ = own(row)
+            symbol, (group, hot) = got[0, of], (got[1, of] >> 1, got[1, of] & 1)
+            strings = Strings(unpacked(row["many"]))
+            after = strings.padded(group)[strings.place + 1]
+            bucket = group << 31 | np.where(hot > 0, after + 1, 0)
+            at = unpacked(row["anchors"], 3)[:, 0]
+            out.append({"place": row["place"], "many": row["many"], "at": packed(at), "bucket": packed(bucket), "names": [packed(symbol)], "ranks": None, "told": None})
+        return pa.Table.from_pylist(out, arrow)
+
+    arrow = pa.schema([("place", pa.int64()), ("many", pa.binary()), ("at", pa.binary()), ("bucket", pa.binary()), ("names", pa.list_(pa.binary())), ("ranks", pa.binary()), ("told", pa.int64())])
+    done = Table(texts.groupBy("place").cogroup(answers.groupBy("place")).applyInArrow(receive, STATE), "symbols")
+    known.drop()
+    return done
+
+
+def bucketed(row: Row, records: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct records of each bucket, the buckets, the place of every record among them, how often each is there."""
+    bucket = np.append(unpacked(row["bucket"]), 0)[anchor]
+    rows, of, many = distinct(np.concatenate([bucket[:, None], records], 1))
+    return rows[:, 1:], rows[:, 0], of, many
 
 
 def triples(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
-    strings, data = text_of(row)
-    level = strings.level(k)
-    s, at = symbols(row, strings, level, data, k), level.sampled()
+    level = Strings(unpacked(row["many"])).level(k)
+    s, at = level.padded(unpacked(row["names"][k])), level.sampled()
     return np.stack([s[at], s[at + 1], s[at + 2]], 1), level.position[at]
 
 
+def told_by(row: Row, k: int, word: int) -> int:
+    """The least number of bytes that the triples of level k tell, but for those that reach their text's end; None without any."""
+    strings = Strings(unpacked(row["many"]))
+    anchor = strings.level(k).position[strings.level(k).sampled()]
+    further = 3 ** (k + 1) - 1
+    inside = np.repeat(np.cumsum(strings.lens), strings.lens)
+    anchor = anchor[anchor < len(inside)]
+    anchor = anchor[anchor + further < inside[anchor]]
+    at = unpacked(row["at"])
+    return int((at[anchor + further] - at[anchor]).min()) + word if len(anchor) else None
+
+
 def named(records: np.ndarray) -> tuple[np.ndarray, int]:
     rows, of = np.unique(keys(records)[0], return_inverse=True)
     return of + 1, len(rows)
@@ -285,10 +418,9 @@ def order_of(records: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def merging(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every suffix of level k: residue 0 (0, s0, s1, rank of i + 1, of i + 2), 1 (1, s0, s1, own rank, of i + 1), 2 (2, s0, s1, own rank, of i + 2); and its position."""
-    strings, data = text_of(row)
-    level = strings.level(k)
-    s = symbols(row, strings, level, data, k)
+    """For every suffix of level k: residue 0 (0, s0, s1, rank of i + 1, of i + 2), 1 (1, s0, s1, own rank, of i + 1), 2 (2, s0, s1, own rank, of i + 2); and its anchor."""
+    level = Strings(unpacked(row["many"])).level(k)
+    s = level.padded(unpacked(row["names"][k]))
     rank = np.zeros(len(s), np.int64)
     rank[level.sampled()] = unpacked(row["ranks"])
     at, c = level.place, level.residue()
@@ -297,97 +429,150 @@ def merging(row: Row, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([c, s[at], s[at + 1], x, y], 1), level.position[at]
 
 
-def windows(row: Row, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Records of merging() at level 0 with the hash of the first `depth` bytes, for the suffixes that have so many; and their positions."""
-    strings, data = text_of(row)
-    records, position = merging(row, 0)
-    whole = position + depth <= strings.ends[np.searchsorted(strings.ends, position, "right")]
-    records, position = records[whole], position[whole]
-    name = textbytes.slice_hashes(textbytes.prefix_hashes(data), position, position + depth).view(np.int64)
-    return np.concatenate([records, name[:, None]], 1), position
+def fronts(row: Row, depth: int) -> tuple:
+    """For every anchor with strings: its record of merging() at level 0, the least and the most bytes in front of it, these and the bytes behind its word; and the anchors."""
+    data, ends = text_of(row)
+    found, span = unpacked(row["anchors"], 3), span_of(depth)
+    records, anchor = merging(row, 0)
+    used = np.flatnonzero(found[anchor, 2] >= found[anchor, 1])
+    at, first, last = found[anchor[used]].T
+    most = at - first
+    left = cut_off(slices(data, at - span, span)[:, ::-1].copy(), most)
+    right = words_of(data, ends, at, depth - span - GRAM, span + GRAM)
+    return np.concatenate([records[used], (at - last)[:, None], most[:, None]], 1), np.concatenate([left, right], 1), anchor[used], found
+
+
+def common(rows: np.ndarray) -> np.ndarray:
+    """How many of the first bytes of each row and the one before it are equal."""
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(1), differ.argmax(1), rows.shape[1]) if len(rows) else np.zeros(0, np.int64)
+
+
+def neighbours(records: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+    """For each anchor a number whose bit d is set if its string of `depth` bytes with d bytes in front of the anchor is in the bucket twice or more."""
+    span, n = span_of(depth), len(records)
+    order = np.argsort(order_of(records[:, :5])[0], kind="stable")  # equal ranks tell equal bytes
+    least, most = records[order, 5], records[order, 6]
+    behind = common(text[order, span:]) + span + GRAM
+    behind[records[order[1:], 1] != records[order[:-1], 1]] = 0
+    back = np.lexsort(np.ascontiguousarray(text[:, :span]).T[::-1]) if n else order
+    front = common(text[back, :span])
+    place = np.empty(n, np.int64)
+    place[back] = np.arange(n)
+    place = place[order]
+    nearest = np.maximum(np.append(behind, 0), np.insert(behind, 0, 0))
+    before = np.maximum(np.append(front, 0), np.insert(front, 0, 0))[place]
+    found = np.zeros(n, np.uint64)
+    for d in range(span):
+        mine = np.flatnonzero((least <= d) & (d <= most) & (nearest >= depth - d) & (before >= d))
+        if len(mine) < 2:
+            continue
+        one = np.concatenate([[0], np.cumsum(behind < depth - d)])[mine]
+        two = np.concatenate([[0], np.cumsum(front < d)])[place[mine]]
+        key = one * n + two
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        twice = mine[by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
+        found[twice] |= np.uint64(1 << d)
+    out = np.empty(n, np.uint64)
+    out[order] = found
+    return out
 
 
-def neighbours(records: np.ndarray) -> tuple[np.ndarray, int]:
-    """1 for each suffix with a neighbour in the order that begins with the same bytes, else 0."""
-    rank, _ = order_of(records[:, :5])
-    order = np.argsort(rank)  # equal ranks tell equal bytes
-    same = records[order, 5][1:] == records[order, 5][:-1]
-    out = np.zeros(len(records), np.int64)
-    out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return out, 0
+def compared(texts: DataFrame, state: DataFrame, depth: int) -> Table:
+    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed."""
+    rows = Table(texts.join(state.select("place", "bucket", "names", "ranks"), "place"), "merge")
+    width = depth - GRAM
 
+    def sent(row: Row) -> tuple:
+        """Of anchors with equal bytes throughout one is sent."""
+        records, text, anchor, found = fronts(row, depth)
+        bucket = unpacked(row["bucket"])[anchor]
+        of, many = distinct(np.concatenate([records[:, [1, 5, 6]], numbers(text)], 1))[1:]
+        first = np.unique(of, return_index=True)[1]
+        return records[first], text[first], bucket[first], of, many, anchor, found
 
-def repeated(state: Table, depth: int, buckets: int) -> Table:
-    """(place, spans): where in each place's input a string of `depth` bytes starts that also starts elsewhere, packed.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                records, text, bucket = sent(row)[:3]
+                order = np.argsort(bucket, kind="stable")
+                used, cut = np.unique(bucket[order], return_index=True)
+                parts = [order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order)))]
+                bodies = [zstandard.ZstdCompressor(1).compress(text[p].tobytes()) for p in parts]
+                yield pa.RecordBatch.from_pydict({"place": pa.array([row["place"]] * len(used), pa.int64()), "bucket": pa.array(used, pa.int64()), "records": pa.array([packed(records[p]) for p in parts], pa.binary()), "text": pa.array(bodies, pa.binary())})
 
-    state has a row for each place: its texts' lengths, their bytes, and where each text starts in the place's input.
-    """
-    total = state.df.agg(F.count(F.lit(1))).first()[0]
-    words = -(-depth // 8)
-    draw = max(1, OVERSAMPLE * buckets // max(1, total))
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpacked(x, 7) for x in table["records"].to_pylist()]
+        text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["text"].to_pylist()), np.uint8).reshape(-1, width)
+        reply = neighbours(np.concatenate(parts), text, depth).view(np.int64)
+        cut = np.cumsum([0, *map(len, parts)])
+        return pa.table({"place": table["place"], "bucket": table["bucket"], "records": pa.array([packed(reply[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                strings, data = text_of(row)
-                at = (textbytes.mix(np.arange(draw, dtype=np.uint64) + np.uint64(row["place"] << 20)) % np.uint64(max(1, len(data)))).astype(np.int64) if len(data) else np.zeros(0, np.int64)
-                eights, end = words_of(data), ends_of(strings.ends, at)
-                drawn = np.stack([prefix_word(eights, end, at, w) for w in range(words)], 1).view(np.int64) if len(at) else np.zeros((0, words), np.int64)
-                yield pa.RecordBatch.from_pydict({"words": pa.array([x.tobytes() for x in drawn], pa.binary())})
-
-    found = [np.frombuffer(r[0], np.uint64) for r in state.df.mapInArrow(some, "words binary").collect()]
-    found = np.array(sorted(map(tuple, found)), np.uint64).reshape(-1, words)
-    splitters = np.unique(found[np.linspace(0, len(found) - 1, min(buckets, len(found) + 1) + 1).astype(int)[1:-1]], axis=0) if len(found) else found
-
-    def ranged(row: Row, records: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct records of each bucket, the buckets, the place of every record among them, how often each is there."""
-        strings, data = text_of(row)
-        bucket = range_of(data, strings.ends, position, splitters) if len(data) else position
-        rows, of, many = distinct(np.concatenate([bucket[:, None], records], 1))
-        return rows[:, 1:], rows[:, 0], of, many
-
-    top = 1
-    while 3 ** (top + 1) < depth:
-        top += 1
+    answered = Table(rows.df.mapInArrow(deal, "place long, bucket long, records binary, text binary").groupBy("bucket").applyInArrow(run, "place long, bucket long, records binary"), "neighbours")
 
-    now = Table(state.df.withColumns({"names": F.array().cast("array<binary>"), "ranks": F.lit(None).cast("binary")}), "level-1")
+    def receive(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for row in mine.to_pylist():
+            records, _, bucket, of, many, anchor, found = sent(row)
+            order, reply = np.argsort(bucket, kind="stable"), np.zeros(len(records), np.int64)
+            reply[order] = np.concatenate([np.zeros(0, np.int64), *[unpacked(x) for _, x in sorted(zip(replies["bucket"].to_pylist(), replies["records"].to_pylist()))]])
+            bits = np.where(many > 1, -1, reply)[of].view(np.uint64)
+            at, first, last = found[anchor].T
+            data, ends = text_of(row)
+            flags = np.zeros(len(data) + 1, bool)
+            for d in range(span_of(depth)):
+                flags[(at - d)[(bits >> np.uint64(d) & np.uint64(1) > 0) & (d <= at - first) & (at - last <= d)]] = True
+            edges = np.diff(flags.astype(np.int8), prepend=np.int8(0))
+            begin, end = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+            text = np.searchsorted(ends, begin, "right")
+            move = unpacked(row["starts"]) - (ends - unpacked(row["lens"]))
+            out.append({"place": row["place"], "spans": packed(np.stack([begin, end], 1) + move[text][:, None])})
+        return pa.Table.from_pylist(out, pa.schema([("place", pa.int64()), ("spans", pa.binary())]))
+
+    done = Table(rows.df.groupBy("place").cogroup(answered.df.groupBy("place")).applyInArrow(receive, "place long, spans binary"), "spans")
+    answered.drop()
+    rows.drop()
+    return done
+
+
+def repeated(texts: Table, depth: int) -> Table:
+    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed. texts has rows of TEXTS."""
+    word = span_of(depth) + GRAM
+    now = ranked_words(texts.df, depth)
 
-    def step(ask, columns, answer, take, schema, label):
+    def step(ask, columns, answer, take, label):
         nonlocal now
-        done = exchange(now.df, ask, columns, answer, take, schema, label)
+        done = exchange(now.df, ask, columns, answer, take, STATE, label, True)
         now.drop()
         now = done
 
-    for k in range(1, top + 1):
+    top = 0
+    while True:
 
-        def ask(row: Row, k: int = k) -> tuple:
-            return ranged(row, *triples(row, k))
+        def ask(row: Row, k: int = top) -> tuple:
+            return bucketed(row, *triples(row, k))
 
-        def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = k) -> Row:
-            got = packed(reply[of])
-            return row | ({"ranks": got} if k == top else {"names": [*row["names"], got]})
+        def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = top) -> Row:
+            return row | {"names": [*row["names"], packed(reply[of])], "told": told_by(row, k, word)}
 
-        step(ask, 3, named, take, STATE, f"names-{k}")
+        step(ask, 3, named, take, f"names-{top}")
+        least = now.df.agg(F.min("told")).first()[0]
+        if least is None or least >= depth:
+            break
+        top += 1
+    # The names of the last level are ranks of its sampled suffixes.
     for k in range(top, 0, -1):
 
         def ask(row: Row, k: int = k) -> tuple:
-            return ranged(row, *merging(row, k))
+            row = row if row["ranks"] else row | {"ranks": row["names"][k + 1]}
+            return bucketed(row, *merging(row, k))
 
         def take(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, k: int = k) -> Row:
-            return row | {"ranks": packed(reply[of]), "names": row["names"][: max(0, k - 2)]}
+            return row | {"ranks": packed(reply[of]), "names": row["names"][:k]}
 
-        step(ask, 5, order_of, take, STATE, f"ranks-{k}")
-
-    def last(row: Row) -> tuple:
-        records, position = windows(row, depth)
-        return *ranged(row, records, position), position
-
-    def flagged(row: Row, reply: np.ndarray, of: np.ndarray, many: np.ndarray, position: np.ndarray) -> Row:
-        at = position[((reply > 0) | (many > 1))[of]]
-        strings, _ = text_of(row)
-        text = np.searchsorted(strings.ends, at, "right")
-        begin = strings.ends - strings.lens - unpacked(row["starts"])
-        return {"place": row["place"], "spans": packed(np.sort(at - begin[text]))}
-
-    step(last, 6, neighbours, flagged, "place long, spans binary", "windows")
-    return now
+        step(ask, 5, order_of, take, f"ranks-{k}")
+    done = compared(texts.df, now.df.withColumn("ranks", F.coalesce("ranks", F.col("names")[1])), depth)
+    now.drop()
+    return done

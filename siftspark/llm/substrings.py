@@ -1,9 +1,12 @@
 """Removal of byte strings that are found more than once in the corpus.
 
-1. Of the Q-grams of every window of LENGTH bytes the one with the least hash is its sample; equal windows have equal
-   samples. Windows whose sample is found once in the corpus are not repeated; the rest are the texts of step 2.
+1. Of the grams of half its length in every window of LENGTH bytes the one with the least hash is its sample; equal
+   windows have equal samples. Windows whose sample is found once in the corpus are not repeated; the rest are the texts of step 2.
 2. Their suffixes are sorted by the difference-cover algorithm, and neighbours compared (difference_cover.py).
 3. Every byte that a repeated window covers is cut.
+
+Texts of any length are worked on in blocks that overlap by a window less one byte, so only the bytes of a place, a
+flag each and what steps 1 and 2 know of its windows are held at once.
 """
 
 from __future__ import annotations
@@ -20,38 +23,40 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
 from siftspark.llm.common import shuffle_width
-from siftspark.llm.difference_cover import Row, Table, exchange, packed, repeated, text_of, unpacked
+from siftspark.llm.difference_cover import TEXTS, Row, Table, exchange, least_in, packed, repeated, text_of, unpacked, with_anchors
 
 LENGTH = 200
-#: Bytes of text of one place and of one range of the order, about; a longer text is taken whole.
-PLACE_BYTES, RANGE_BYTES = 1 << 21, 1 << 20
-
-
-def least_in(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every `width` consecutive values."""
-    done = 1
-    while done * 2 <= width:
-        x, done = np.minimum(x[:-done], x[done:]), done * 2
-    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
-
-
-def samples(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run of windows with one sample, and the sample's hash."""
-    gram = length // 2
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(data) - gram + 1)
-    hashes = textbytes.slice_hashes(textbytes.prefix_hashes(data), place, place + gram)
-    marked = (hashes >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
-    sample = (least_in(marked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    window = np.arange(len(sample))
-    text = np.searchsorted(ends, window, "right")
-    inside = window + length <= ends[text]
-    new = np.concatenate([[True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(sample)) - 1
-    first, last = first[inside[first]], last[inside[first]]
-    return first, last, hashes[sample[first]].view(np.int64)
+#: Bytes of text of one place, about (a longer text is one place), and of those whose samples one bucket gets.
+PLACE_BYTES, BUCKET_BYTES = 1 << 21, 1 << 22
+#: Windows of a block.
+BLOCK = 1 << 20
+
+
+def samples(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """(first, last, hash): first and last window of each run of windows with one sample, and the sample's hash."""
+    gram, out = length // 2, [np.zeros((0, 3), np.int64)]
+    for begin in range(0, max(0, len(data) - length + 1), BLOCK):
+        part = data[begin : begin + BLOCK + length - 1]
+        place = np.arange(len(part) - gram + 1)
+        hashes = textbytes.slice_hashes(textbytes.prefix_hashes(part), place, place + gram)
+        marked = (hashes >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
+        sample = (least_in(marked, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        window = np.arange(begin, begin + len(sample))
+        text = np.searchsorted(ends, window, "right")
+        inside = window + length <= ends[text]
+        first = np.flatnonzero(np.concatenate([[True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])]))
+        last = np.append(first[1:], len(sample)) - 1
+        first, last = first[inside[first]], last[inside[first]]
+        out.append(np.stack([begin + first, begin + last, hashes[sample[first]].view(np.int64)], 1))
+    return np.concatenate(out)
+
+
+def pieces(begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of windows, first to last and `length` - 1 bytes more, cut to BLOCK windows."""
+    many = -(-(end - begin - length + 1) // BLOCK)
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    first = np.repeat(begin, many) + nth * BLOCK
+    return first, np.minimum(np.repeat(end, many), first + BLOCK + length - 1)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -69,18 +74,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
         for part, data, offsets in textbytes.chunks(batches, 1, PLACE_BYTES):
-            whole = [pa.array([x], pa.binary()) for x in (packed(np.diff(offsets)), zstandard.ZstdCompressor(3).compress(data.tobytes()))]
+            bodies = packed(np.diff(offsets)), zstandard.ZstdCompressor(3).compress(data.tobytes()), packed(samples(data, offsets[1:], length))
+            whole = [pa.array([x], pa.binary()) for x in bodies]
             lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, *range(2, part.num_columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *whole, *lists], ["place", "lens", "data", "doc_id", *kinds])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *whole, *lists], ["place", "lens", "data", "samples", "doc_id", *kinds])
             place += 1
 
-    texts = Table(rows.mapInArrow(placed, "place long, lens binary, data binary, doc_id array<long>" + "".join(f", {c} array<{t}>" for c, t in kinds.items())), "texts")
+    texts = Table(rows.mapInArrow(placed, "place long, lens binary, data binary, samples binary, doc_id array<long>" + "".join(f", {c} array<{t}>" for c, t in kinds.items())), "texts")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(shuffle_width(spark), size // RANGE_BYTES)
+    buckets = max(4 * shuffle_width(spark), size // BUCKET_BYTES)
 
     def ask(row: Row) -> tuple:
-        strings, data = text_of(row)
-        first, last, name = samples(data, strings.ends, length)
+        first, last, name = unpacked(row["samples"], 3).T
         found, of, many = np.unique(name, return_inverse=True, return_counts=True)
         return np.stack([found, many > 1], 1), (textbytes.mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), first, last, of
 
@@ -89,32 +94,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return ((many > 1) | (np.bincount(of, records[:, 1], len(many)) > 0))[of].astype(np.int64), 0
 
     def segments(row: Row, reply: np.ndarray, first: np.ndarray, last: np.ndarray, of: np.ndarray) -> Row:
-        strings, data = text_of(row)
+        data, ends = text_of(row)
         keep = reply[of] > 0
         first, last = first[keep], last[keep]
         new = np.concatenate([[True], first[1:] != last[:-1] + 1])[: len(first)]
-        new[1:] |= np.searchsorted(strings.ends, first[1:], "right") != np.searchsorted(strings.ends, first[:-1], "right")
-        begin = first[new]
-        end = last[np.append(new[1:], True)[: len(new)]] + length
-        left = b"".join(data[a:b].tobytes() for a, b in zip(begin, end))
-        return {"place": row["place"], "starts": packed(begin), "lens": packed(end - begin), "data": zstandard.ZstdCompressor(1).compress(left)}
-
-    state = exchange(texts.df.select("place", "lens", "data"), ask, 2, shared, segments, "place long, starts binary, lens binary, data binary", "segments")
-    spans = repeated(state, length, buckets)
+        new[1:] |= np.searchsorted(ends, first[1:], "right") != np.searchsorted(ends, first[:-1], "right")
+        begin, end = pieces(first[new], last[np.append(new[1:], True)[: len(new)]] + length, length)
+        return with_anchors(row["place"], begin, end - begin, b"".join(data[a:b].tobytes() for a, b in zip(begin, end)), length)
+
+    state = exchange(texts.df.select("place", "lens", "data", "samples"), ask, 2, shared, segments, TEXTS, "segments")
+    spans = repeated(state, length)
     state.drop()
     names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if keep_text else {})
 
     def cut(mine: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in names}
         for row in mine.select(["place", "lens", "data", "doc_id"]).to_pylist():
-            strings, data = text_of(row)
-            edge = np.zeros(len(data) + 1, np.int32)
+            data, ends = text_of(row)
+            keep = np.ones(len(data), bool)
             for x in found["spans"].to_pylist():
-                at = unpacked(x)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            for key, a, b in zip(row["doc_id"], strings.ends - strings.lens, strings.ends):
+                for a, b in unpacked(x, 2).tolist():
+                    keep[a : b + length - 1] = False
+            for key, a, b in zip(row["doc_id"], np.insert(ends, 0, 0)[:-1], ends):
                 left, gone = data[a:b][keep[a:b]].tobytes(), np.concatenate([[False], ~keep[a:b]])
                 values = [key, int(b - a), int(b - a) - len(left), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest()]
                 for c, v in zip(names, [*values, left.decode("utf-8", "ignore")]):
@@ -125,4 +126,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return table
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", {c} {kinds['carry_' + c]}" for c in carry)
-    return texts.df.groupBy("place").cogroup(spans.df.groupBy("place")).applyInArrow(cut, schema)
+    return texts.df.drop("samples").groupBy("place").cogroup(spans.df.groupBy("place")).applyInArrow(cut, schema)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes that a broadcast side may have; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a task that writes an intermediate table, about.
+TASK_BYTES = 8 << 20
+#: Spark's setting that deletes a query's shuffle files when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: dict[str, str] = {}
 
@@ -28,12 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftspark-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tasks_for(spark: SparkSession, volume: int) -> int:
+    """Tasks, and so files, for a table of about `volume` bytes: TASK_BYTES each, but two a core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, volume // TASK_BYTES)
+
+
+class Table:
+    """df as a Parquet table in the shared folder, written by `tasks` tasks at most: cuts lineage, and survives lost executors. It can be dropped once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, label: str, tasks: int | None = None) -> None:
+        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            (df.coalesce(tasks) if tasks else df).write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
+    return Table(df, label, tasks).df
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

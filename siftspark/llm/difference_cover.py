@@ -26,7 +26,6 @@ sees counts of ranges of the word sort only, and the least number of bytes that
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,14 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import shared_dir, shuffle_width, small
+from siftspark.llm.common import Table, small
 
 GRAM = 8
 #: Symbols of a range of the order, about.
 GROUP = 1 << 15
 DEALT = "place long, bucket long, records binary, n long"
-#: Spark's setting that deletes a query's shuffle files when it has ended.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def span_of(depth: int) -> int:
@@ -53,24 +50,6 @@ def span_of(depth: int) -> int:
     return min(64, (depth - GRAM) // 3)
 
 
-class Table:
-    """A table in the shared folder that can be dropped once the next one is written."""
-
-    def __init__(self, df: DataFrame, label: str) -> None:
-        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
-        try:
-            df.write.parquet(self.path)
-        finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def packed(x: np.ndarray) -> bytes:
     """Numbers (n or n x columns), column by column and byte by byte, compressed."""
     x = np.ascontiguousarray(x.T, np.int64)
@@ -251,7 +230,7 @@ def offsets(answered: DataFrame) -> DataFrame:
     return inner.join(upper.select("upper", "base"), "upper").select("bucket", (F.col("base") + F.col("inner")).alias("before"))
 
 
-def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[..., Row], schema: str, label: str, moved: bool = False) -> Table:
+def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndarray], tuple[np.ndarray, int]], take: Callable[..., Row], schema: str, label: str, tasks: int, moved: bool = False) -> Table:
     """Ask buckets for numbers of the records of each place, and make the place's new row of its old one and the answers.
 
     answer(records) gives a number for each record of a bucket, and by how much the numbers of later buckets move, if they are moved.
@@ -264,7 +243,7 @@ def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndar
         blobs = [packed(reply[a:b]) for a, b in zip(cut[:-1], cut[1:])]
         return pa.table({"place": table["place"], "bucket": table["bucket"], "records": pa.array(blobs, pa.binary()), "n": pa.array([n] * len(blobs), pa.int64())})
 
-    answered = Table(dealt(state, ask).groupBy("bucket").applyInArrow(run, DEALT), f"{label}-answers")
+    answered = Table(dealt(state, ask).groupBy("bucket").applyInArrow(run, DEALT), f"{label}-answers", tasks)
     if moved:
         before = offsets(answered.df)
         replies = answered.df.join(small(before, before.count(), 32), "bucket")
@@ -284,7 +263,7 @@ def exchange(state: DataFrame, ask: Ask, columns: int, answer: Callable[[np.ndar
         return pa.Table.from_pylist(out, arrow)
 
     arrow = pa.schema([(f.name, {"bigint": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}[f.dataType.simpleString()]) for f in types])
-    done = Table(state.groupBy("place").cogroup(replies.groupBy("place")).applyInArrow(receive, schema), label)
+    done = Table(state.groupBy("place").cogroup(replies.groupBy("place")).applyInArrow(receive, schema), label, tasks)
     answered.drop()
     return done
 
@@ -306,7 +285,7 @@ def with_anchors(place: int, starts: np.ndarray, lens: np.ndarray, data: bytes,
     return {"place": place, "starts": packed(starts), "lens": packed(lens), "data": zstandard.ZstdCompressor(1).compress(data), "anchors": packed(found), "many": packed(many)}
 
 
-def ranked_words(texts: DataFrame, depth: int) -> Table:
+def ranked_words(texts: DataFrame, depth: int, tasks: int) -> Table:
     """STATE of each place: symbols of its anchors (the first of names) and their buckets.
 
     Distinct words are sorted by Spark's range partitioning; a word's symbol is its place in the order, and its range is
@@ -338,8 +317,8 @@ def ranked_words(texts: DataFrame, depth: int) -> Table:
                 nth, before = nth + len(many), int(upto[-1])
 
     rows = texts.mapInArrow(asked, "place long, nth long, word binary, many long")
-    found = rows.groupBy("word").agg(F.sum("many").alias("many")).repartitionByRange(shuffle_width(spark), "word").sortWithinPartitions("word")
-    known = Table(found.mapInArrow(numbered, "part long, word binary, many long, rank long, smaller long"), "words")
+    found = rows.groupBy("word").agg(F.sum("many").alias("many")).repartitionByRange(tasks, "word").sortWithinPartitions("word")
+    known = Table(found.mapInArrow(numbered, "part long, word binary, many long, rank long, smaller long"), "words")  # a task for each range, as its number names the range
     sizes = sorted(tuple(r) for r in known.df.groupBy("part").agg(F.count(F.lit(1)), F.sum("many")).collect())  # a row for each range
     bases = np.cumsum([(0, 0), *[r[1:] for r in sizes]], 0)[:-1].tolist()
     base = spark.createDataFrame([(r[0], *b) for r, b in zip(sizes, bases)], "part long, words_before long, anchors_before long")
@@ -364,7 +343,7 @@ def ranked_words(texts: DataFrame, depth: int) -> Table:
         return pa.Table.from_pylist(out, arrow)
 
     arrow = pa.schema([("place", pa.int64()), ("many", pa.binary()), ("at", pa.binary()), ("bucket", pa.binary()), ("names", pa.list_(pa.binary())), ("ranks", pa.binary()), ("told", pa.int64())])
-    done = Table(texts.groupBy("place").cogroup(answers.groupBy("place")).applyInArrow(receive, STATE), "symbols")
+    done = Table(texts.groupBy("place").cogroup(answers.groupBy("place")).applyInArrow(receive, STATE), "symbols", tasks)
     known.drop()
     return done
 
@@ -479,9 +458,9 @@ def neighbours(records: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def compared(texts: DataFrame, state: DataFrame, depth: int) -> Table:
+def compared(texts: DataFrame, state: DataFrame, depth: int, tasks: int) -> Table:
     """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed."""
-    rows = Table(texts.join(state.select("place", "bucket", "names", "ranks"), "place"), "merge")
+    rows = Table(texts.join(state.select("place", "bucket", "names", "ranks"), "place"), "merge", tasks)
     width = depth - GRAM
 
     def sent(row: Row) -> tuple:
@@ -510,7 +489,7 @@ def compared(texts: DataFrame, state: DataFrame, depth: int) -> Table:
         cut = np.cumsum([0, *map(len, parts)])
         return pa.table({"place": table["place"], "bucket": table["bucket"], "records": pa.array([packed(reply[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
-    answered = Table(rows.df.mapInArrow(deal, "place long, bucket long, records binary, text binary").groupBy("bucket").applyInArrow(run, "place long, bucket long, records binary"), "neighbours")
+    answered = Table(rows.df.mapInArrow(deal, "place long, bucket long, records binary, text binary").groupBy("bucket").applyInArrow(run, "place long, bucket long, records binary"), "neighbours", tasks)
 
     def receive(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
@@ -531,20 +510,20 @@ def compared(texts: DataFrame, state: DataFrame, depth: int) -> Table:
             out.append({"place": row["place"], "spans": packed(np.stack([begin, end], 1) + move[text][:, None])})
         return pa.Table.from_pylist(out, pa.schema([("place", pa.int64()), ("spans", pa.binary())]))
 
-    done = Table(rows.df.groupBy("place").cogroup(answered.df.groupBy("place")).applyInArrow(receive, "place long, spans binary"), "spans")
+    done = Table(rows.df.groupBy("place").cogroup(answered.df.groupBy("place")).applyInArrow(receive, "place long, spans binary"), "spans", tasks)
     answered.drop()
     rows.drop()
     return done
 
 
-def repeated(texts: Table, depth: int) -> Table:
-    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed. texts has rows of TEXTS."""
+def repeated(texts: Table, depth: int, tasks: int) -> Table:
+    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed. texts has rows of TEXTS; tasks write a table."""
     word = span_of(depth) + GRAM
-    now = ranked_words(texts.df, depth)
+    now = ranked_words(texts.df, depth, tasks)
 
     def step(ask, columns, answer, take, label):
         nonlocal now
-        done = exchange(now.df, ask, columns, answer, take, STATE, label, True)
+        done = exchange(now.df, ask, columns, answer, take, STATE, label, tasks, True)
         now.drop()
         now = done
 
@@ -573,6 +552,6 @@ def repeated(texts: Table, depth: int) -> Table:
             return row | {"ranks": packed(reply[of]), "names": row["names"][:k]}
 
         step(ask, 5, order_of, take, f"ranks-{k}")
-    done = compared(texts.df, now.df.withColumn("ranks", F.coalesce("ranks", F.col("names")[1])), depth)
+    done = compared(texts.df, now.df.withColumn("ranks", F.coalesce("ranks", F.col("names")[1])), depth, tasks)
     now.drop()
     return done

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import shuffle_width
-from siftspark.llm.difference_cover import TEXTS, Row, Table, exchange, least_in, packed, repeated, text_of, unpacked, with_anchors
+from siftspark.llm.common import Table, shuffle_width, tasks_for
+from siftspark.llm.difference_cover import TEXTS, Row, exchange, least_in, packed, repeated, text_of, unpacked, with_anchors
 
 LENGTH = 200
 #: Bytes of text of one place, about (a longer text is one place), and of those whose samples one bucket gets.
@@ -80,8 +80,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), *whole, *lists], ["place", "lens", "data", "samples", "doc_id", *kinds])
             place += 1
 
-    texts = Table(rows.mapInArrow(placed, "place long, lens binary, data binary, samples binary, doc_id array<long>" + "".join(f", {c} array<{t}>" for c, t in kinds.items())), "texts")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = tasks_for(spark, size)
+    texts = Table(rows.coalesce(tasks).mapInArrow(placed, "place long, lens binary, data binary, samples binary, doc_id array<long>" + "".join(f", {c} array<{t}>" for c, t in kinds.items())), "texts")
     buckets = max(4 * shuffle_width(spark), size // BUCKET_BYTES)
 
     def ask(row: Row) -> tuple:
@@ -102,8 +103,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         begin, end = pieces(first[new], last[np.append(new[1:], True)[: len(new)]] + length, length)
         return with_anchors(row["place"], begin, end - begin, b"".join(data[a:b].tobytes() for a, b in zip(begin, end)), length)
 
-    state = exchange(texts.df.select("place", "lens", "data", "samples"), ask, 2, shared, segments, TEXTS, "segments")
-    spans = repeated(state, length)
+    state = exchange(texts.df.select("place", "lens", "data", "samples"), ask, 2, shared, segments, TEXTS, "segments", tasks)
+    spans = repeated(state, length, tasks)
     state.drop()
     names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if keep_text else {})
 
@@ -126,4 +127,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return table
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", {c} {kinds['carry_' + c]}" for c in carry)
-    return texts.df.drop("samples").groupBy("place").cogroup(spans.df.groupBy("place")).applyInArrow(cut, schema)
+    return texts.df.drop("samples").groupBy("place").cogroup(spans.df.groupBy("place")).applyInArrow(cut, schema).coalesce(tasks)

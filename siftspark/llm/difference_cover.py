@@ -41,7 +41,7 @@ from siftspark.llm.common import Table, small
 
 GRAM = 8
 #: Symbols of a range of the order, about.
-GROUP = 1 << 15
+GROUP = 1 << 16
 DEALT = "place long, bucket long, records binary, n long"
 
 

@@ -34,7 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def tasks_for(spark: SparkSession, volume: int) -> int:
     """Tasks, and so files, for a table of about `volume` bytes: TASK_BYTES each, but two a core at least."""
-    return max(2 * spark.sparkContext.defaultParallelism, volume // TASK_BYTES)
+    return min(1 << 24, max(2 * spark.sparkContext.defaultParallelism, volume // TASK_BYTES))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df in no more tasks than its volume, by the planner's estimate, needs."""
+    return df.coalesce(tasks_for(df.sparkSession, df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class Table:

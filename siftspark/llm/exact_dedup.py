@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import SPACE, staged
+from siftspark.llm.common import SPACE, gathered, staged
 
 #: Counters of a Misra-Gries summary. Every digest with over 3.5 / TRACKED of the rows is among its candidates.
 TRACKED = 1024
@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text) exactly one stays. Other columns are ignored, so their names can't clash. An empty table gives none.
     """
     digests = staged(
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256")),
+        gathered(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256")),
         "digests",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid")))

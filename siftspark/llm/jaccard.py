@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import shuffle_width, staged
+from siftspark.llm.common import gathered, shuffle_width, staged, tasks_for
 from siftspark.llm.components import components
 
 #: Sets of a tree at most; larger clusters are cut into blocks of about as many.
@@ -304,17 +304,13 @@ def linked(table: pa.Table, percent: int) -> pa.Table:
             continue
         sets = [np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in rows]
         joined = Joined(label[rows].tolist())
-        if len(rows) == 2:
-            if joined.root(0) != joined.root(1) and links(sets[0], sets[1], percent):
-                joined.join(0, 1)
-        else:
-            bits = bits_for(sets)
-            parts = [[k for k in range(len(rows)) if side[rows[k]] == s] for s in (0, 1)]
-            left = Tree(sets, parts[0], bits) if parts[0] else None
-            if left and parts[1]:
-                traverse(left, Tree(sets, parts[1], bits), joined, percent)
-            elif left:
-                traverse(left, left, joined, percent)
+        bits = bits_for(sets)
+        parts = [[k for k in range(len(rows)) if side[rows[k]] == s] for s in (0, 1)]
+        left = Tree(sets, parts[0], bits) if parts[0] else None
+        if left and parts[1]:
+            traverse(left, Tree(sets, parts[1], bits), joined, percent)
+        elif left:
+            traverse(left, left, joined, percent)
         found_a += [node[rows[i]] for i, _ in joined.links]
         found_b += [node[rows[j]] for _, j in joined.links]
     a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
@@ -337,20 +333,20 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the sets (cluster, node, tokens) of each cluster as all links would."""
     spark = sets.sparkSession
     total = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0]
-    tasks = max(shuffle_width(spark), total // TASK_BYTES)
+    tasks, files = max(shuffle_width(spark), total // TASK_BYTES), tasks_for(spark, total)
     sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    sets = staged(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int")), "sets")
+    sets = staged(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int")), "sets", files)
     # Of a cluster of several blocks, about PIVOTS sets are in every block: they join most components across blocks.
     pivots = sets.filter((F.col("members") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("members") / PIVOTS)) == 0))
     copies = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
     one = sets.unionByName(copies).select(F.xxhash64("cluster", "block").alias("job"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens")
-    found = staged(_tasks(one, percent, tasks), "links")
+    found = staged(_tasks(one, percent, tasks), "links", files)
     large = sets.filter(F.col("members") > BLOCK)
     if large.isEmpty():
         return found
     # Then, where components remain, every set outside the largest one against all blocks: nothing is left unchecked.
     linked_large = found.join(large.select(F.col("node").alias("a")), "a", "left_semi")
-    labels = staged(_labelled(large, linked_large), "labels")
+    labels = staged(_labelled(large, linked_large), "labels", files)
     counts = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), (F.sum("n") - F.max("n")).alias("outside")).filter("labels > 1")
     rest = labels.join(main, "cluster").withColumns({"chunks": F.ceil(F.col("outside") / BLOCK), "blocks": F.ceil(F.col("members") / BLOCK)})
@@ -379,7 +375,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             sets = shingles(data, offsets, n)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names(sets))], ["doc_id", "row", "n_shingles", "node"])
 
-    named = staged(rows.mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
+    named = staged(gathered(rows).mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
     largest, total = named.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     bands = Bands(percent, largest) if percent >= SUBSETS else None
     counts = None if bands else counted(rows, n)
@@ -408,10 +404,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
             sets = shingles(data, offsets, n)
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "tokens"])
+            out = pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "tokens"])
+            yield out.filter(pa.array(names(sets) == part.column(3).to_numpy()))  # not of another row whose hash is the same
 
     sets = rows.join(wanted, "row").select("doc_id", "text", "cluster", "node").mapInArrow(tokens, "cluster long, node long, tokens binary")
-    joined = components(tree_links(staged(sets, "tokens"), percent))
+    joined = components(tree_links(staged(sets, "tokens", tasks_for(spark, 8 * total)), percent))
     per_node = named.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
     of = per_node.join(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     full, none = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import SPACE, let, small, staged
+from siftspark.llm.common import SPACE, gathered, let, small, staged
 
 #: Share of a group's rows that a concentration step keeps, steps, and rows under which a group is judged by its language, a language by all rows.
 H, STEPS, LEAST = 0.75, 4, 50
@@ -115,7 +115,7 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     languages of under LEAST such rows by that over all rows. Null language or source count as ''. A null text counts as empty (and fails the base rules, as n_words < 10). Repeated rows are
     judged each. Rows that fail the base rules don't take part in the estimates. Other columns are ignored.
     """
-    stats = statistics(docs, id_col, text_col, lang_col, source_col)
+    stats = statistics(gathered(docs), id_col, text_col, lang_col, source_col)
     rows = staged(vectors(stats).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "stats")
     sizes = staged(rows.groupBy("grp", "language").agg(F.count_if(~F.col("base_failed")).alias("n")), "sizes")
     groups = sizes.count()

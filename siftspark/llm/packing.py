@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import staged
+from siftspark.llm.common import gathered, staged
 
 LENGTH = 4096
 #: Pieces of text that a worker remembers, and new ones that it gathers before it sorts them in; beyond it, it starts anew.
@@ -253,7 +253,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = LE
     A null text is a document of end_id alone. Repeated rows are packed each; an empty table gives none; other columns
     are ignored.
     """
-    return pack(staged(pieces(docs, path, end_id, length, id_col, text_col, keep_ids), "pieces"), length)
+    return pack(staged(pieces(gathered(docs), path, end_id, length, id_col, text_col, keep_ids), "pieces"), length)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

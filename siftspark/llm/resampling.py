@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import staged
+from siftspark.llm.common import gathered, staged
 
 #: Buckets of the hashed n-grams, and the pseudo-count of each.
 BUCKETS, PSEUDO = 1 << 14, 1.0
@@ -127,7 +127,7 @@ def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", t
     Rows whose keys equal the k-th are all kept (repeated rows have equal keys). A null or empty text has weight 0;
     rows without id or label are weighed like others. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = gathered(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = staged(labelled(labels, good), "labels")
     marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(2)).alias("role"))
     target, every = counted(marked)

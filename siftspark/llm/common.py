@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -13,7 +13,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Bytes that a broadcast side may have; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a task that writes an intermediate table, about.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 #: Spark's setting that deletes a query's shuffle files when it has ended.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -69,6 +69,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text: with the id, it tells rows apart whose id is null or repeated."""
+    return F.xxhash64(id_col, text_col)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,29 +1,32 @@
 """N-gram Jaccard join by signature trees.
 
-The upper levels of the tree are a partition of the distinct shingle sets by size range and by keys, of which two sets
-that link share one: at SUBSETS percent or more, subsets of the shingles dealt out by hash (few and large then, so that
-a shared passage makes none), else the rarest shingles, the first |x| - ceil(t |x|) + 1 of each set in a common order,
-here by counts over all texts. Sets that share such a shingle and whose sizes admit a link, directly or by way of others, form a cluster;
-links lie inside clusters only. In a
-cluster, the nodes of a signature tree hold OR-combined token bitmaps and size ranges; a dual traversal prunes pairs of
+The upper levels of the tree are a partition of the distinct shingle sets by size range and by rare shingles: in the
+order of the number of sets that have them, two sets that link share one of the first |x| - ceil(t |x|) + 1 shingles of each.
+Shingles that one set has alone can't be shared, so only the others are dealt out; sets that share one and whose sizes
+admit a link, directly or by way of others, form a cluster, and links lie inside clusters only. In a cluster of any size from two
+sets on, the nodes of a signature tree hold OR-combined token bitmaps and size ranges; a dual traversal prunes pairs of
 nodes whose largest possible overlap is too small, or whose sets are connected already, and the remaining pairs of sets
 are compared exactly.
+
+Shingles are counted by an exchange: places (the texts of a task, some MB at a time) deal their shingles to buckets, ranges of their
+hashes; a bucket answers every place with the counts of those that are shared. A shingle that many sets of a place have is
+dealt once, with their number, so that a passage of all texts makes one record a place.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import gathered, shuffle_width, staged, tasks_for
+from siftspark.llm.common import gathered, row_key, shuffle_width, small, staged, tasks_for
 from siftspark.llm.components import components
+from siftspark.llm.difference_cover import packed, unpacked
 
 #: Sets of a tree at most; larger clusters are cut into blocks of about as many.
 BLOCK = 256
@@ -31,54 +34,20 @@ PIVOTS = 24
 LEAF, FANOUT = 8, 4
 #: Keys of one bucket, and bytes of sets of one task, about.
 BUCKET_KEYS, TASK_BYTES = 1 << 19, 4 << 20
-#: Counters of the order of shingles, and parts that they are summed in.
-COUNTERS, PARTS = 1 << 18, 16
 RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
-#: Keys that a worker gathers before it deals them out.
-FLUSH = 1 << 18
-#: Threshold from which keys are subsets.
-SUBSETS = 85
-#: Bytes of text shingled at once.
-CHUNK = 1 << 19
-
-
-def subsets(differ: int, size: int) -> int:
-    """The least number of subsets of which `size` hashed shingles leave more than `differ` filled, up to three standard deviations."""
-    m = differ + 1
-    while differ and m < 4 * size:
-        one, two = (1 - 1 / m) ** size, (1 - 2 / m) ** size if m > 2 else 0.0
-        spread = math.sqrt(max(0.0, m * one + m * (m - 1) * two - (m * one) ** 2))
-        if m * (1 - one) - 3 * spread >= differ + 1:
-            break
-        m += max(1, m // 64)
-    return m
-
-
-class Bands:
-    """Size ranges and the numbers of subsets, for sets that link when 100 * intersection >= percent * union."""
-
-    def __init__(self, percent: int, largest: int) -> None:
-        self.percent, self.bounds = percent, [1]
-        while self.bounds[-1] <= largest:
-            self.bounds.append(self.bounds[-1] * 100 // percent + 1)
-        self.bounds += [self.bounds[-1] * 100 // percent + 1]
-        top = [(b - 1) + (b - 1) * 100 // percent for b in self.bounds[1:]]
-        #: Group k holds range k and the next; its pairs have a smaller set of range k, and so differ in at most so much.
-        self.differ = [(100 - percent) * s // (100 + percent) for s in top]
-        #: Subsets: enough that a set of the group has more than D that aren't empty, as empty ones say nothing.
-        self.parts = [subsets(d, b) for d, b in zip(self.differ, self.bounds)]
-        #: Where a set has fewer, more than this are empty: see keys_of.
-        self.slack = [m - d - 1 for m, d in zip(self.parts, self.differ)]
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.bounds), sizes, "right") - 1
+#: Bytes of text shingled at once, of a place, and of those whose shingles one bucket counts, about.
+CHUNK, PLACE_BYTES, BUCKET_BYTES = 1 << 19, 1 << 23, 1 << 23
+#: Sets of a place from which a shingle is dealt once for all of them.
+COMMON = 64
+#: Bits of a shingle's hash that are counted and make its key: two shingles with the same ones only make a comparison more.
+BITS = 48
+DEALT = "place long, bucket long, records binary, sets binary, common binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of n words; of fewer words, the whole sequence is one."""
-    data = textbytes.LOWER[data]
-    starts, ends, first = textbytes.words(data, offsets)
-    word = textbytes.slice_hashes(textbytes.prefix_hashes(data), starts, ends)
+    word, owner = textbytes.by_block(textbytes.word_hashes, textbytes.LOWER[data], offsets)
+    first = np.searchsorted(owner, np.arange(len(offsets)))
     rolled = np.zeros(max(0, len(word) - n + 1), np.uint64)
     for i in range(n):
         rolled = rolled * textbytes.MULTIPLIER + word[i : len(word) - n + 1 + i]
@@ -103,65 +72,69 @@ def names(sets: list[np.ndarray]) -> np.ndarray:
     return textbytes.mix(sums + np.array([len(s) for s in sets], np.uint64) * textbytes.MULTIPLIER).view(np.int64)
 
 
-def counted(rows: DataFrame, n: int) -> np.ndarray:
-    """For each of COUNTERS hash classes of shingles: texts that have one of it, summed. It orders shingles; any order is right, a true one is fast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, data, offsets in textbytes.chunks(batches, 1, CHUNK):
-            total += np.bincount((np.concatenate(shingles(data, offsets, n)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        cut = range(0, COUNTERS, COUNTERS // PARTS)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": [total[i : i + COUNTERS // PARTS].tobytes() for i in cut]})
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table["part"].slice(0, 1), "counts": [sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()).tobytes()]})
-
-    schema = "part int, counts binary"
-    parts = sorted(rows.select("doc_id", "text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect())
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in parts]) if parts else np.zeros(COUNTERS, np.int64)
-
-
-def rare_keys(sets: list[np.ndarray], percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest shingles of all sets, and each one's set."""
-    sizes = np.array([len(s) for s in sets])
-    first = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((flat, counts[(flat & np.uint64(len(counts) - 1)).astype(np.int64)], owner))
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = place < first[owner]
-    return flat[order][kept], owner[kept]
-
-
-def subset_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the subsets of all sets, and each one's set. Two sets that link differ in at most D shingles, so of more than D subsets that aren't empty one is the same in both."""
-    all_keys, all_owner = [], []
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    place, low, high = (flat >> np.uint64(24)).astype(np.int64), (flat & np.uint64(0xFFFFFFFF)).astype(float), (flat >> np.uint64(32)).astype(float)
-    band = bands.of(sizes)
-    for back in (0, 1):
-        group = band - back
-        parts = np.where((sizes > 0) & (group >= 0), np.array(bands.parts)[group], 0)
-        parts[np.array(bands.differ)[group] == 0] = 0  # only equal sets link, and those have one name
-        begin = np.concatenate([[0], np.cumsum(parts)])
-        use = parts[owner] > 0
-        slot = begin[owner[use]] + place[use] % parts[owner[use]]
-        count, a, b = (np.bincount(slot, w, begin[-1]) for w in (None, low[use], high[use]))
-        of = np.repeat(np.arange(len(sets)), parts)
-        index = np.arange(begin[-1]) - begin[of]
-        salt = textbytes.mix(group[of].astype(np.uint64) * textbytes.MULTIPLIER + index.astype(np.uint64))
-        key = textbytes.mix(textbytes.mix(a.astype(np.uint64) + salt) + b.astype(np.uint64))
-        full = count > 0
-        all_keys.append(key[full])
-        all_owner.append(of[full])
-        # Sets that share untouched subsets only where both are empty: keys of the empty subsets, more than slack at once.
-        empty = np.bincount(of[~full], minlength=len(sets))
-        for i in np.flatnonzero(empty > np.array(bands.slack)[np.maximum(group, 0)] * (parts > 0) + (parts == 0) * 10**9):
-            gaps = index[(of == i) & ~full].tolist()
-            more = [hash((int(group[i]), *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(gaps, bands.slack[group[i]] + 1)]
-            all_keys.append(textbytes.mix(np.array(more, np.uint64)))
-            all_owner.append(np.full(len(more), i))
-    return np.concatenate(all_keys), np.concatenate(all_owner)
+def asked(place: int, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows of DEALT of a place: its shingles (hash, set's number or -1, number of sets) for each bucket, and for itself its sets' names and sizes and the sets of common shingles."""
+    node, size = names(sets), np.array([len(s) for s in sets], np.int64)
+    keep = np.unique(node, return_index=True)[1]
+    keep = keep[size[keep] > 0]
+    node, size, sets = node[keep], size[keep], [sets[i] for i in keep]
+    flat = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - BITS)).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+    times = np.diff(np.append(first, len(flat)))
+    common = np.repeat(times >= COMMON, times)
+    once = first[times >= COMMON]
+    records = np.concatenate([np.stack([flat[~common], owner[~common], np.ones((~common).sum(), np.int64)], 1), np.stack([flat[once], np.full(len(once), -1), times[times >= COMMON]], 1)])
+    records = records[np.argsort(records[:, 0], kind="stable")]
+    width = -(-(1 << BITS) // buckets)
+    cut = np.searchsorted(records[:, 0], np.arange(buckets + 1) * width)
+    used = np.flatnonzero(np.diff(cut))
+    blobs = [packed(np.concatenate([np.diff(x[:, :1], axis=0, prepend=0), x[:, 1:]], 1)) for x in (records[cut[b] : cut[b + 1]] for b in used)]
+    own = packed(np.stack([node, size], 1)), packed(np.stack([flat[common], owner[common]], 1))
+    # A place's own row goes by a bucket of its own.
+    return pa.RecordBatch.from_arrays([pa.array([place] * (len(used) + 1), pa.int64()), pa.array([*used, -1 - place], pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(used), own[0]], pa.binary()), pa.array([*[None] * len(used), own[1]], pa.binary())], DEALT_NAMES)
+
+
+DEALT_NAMES = [x.split()[0] for x in DEALT.split(", ")]
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """Of a bucket: for each place its records whose shingles two sets or more have, with the number of sets."""
+    if table["bucket"][0].as_py() < 0:
+        return table
+    parts = [unpacked(x, 3) for x in table["records"].to_pylist()]
+    for x in parts:
+        x[:, 0] = np.cumsum(x[:, 0])
+    rows = np.concatenate(parts)
+    of = np.unique(rows[:, 0], return_inverse=True)[1]
+    rows[:, 2] = np.bincount(of, rows[:, 2])[of]
+    cut = np.cumsum([0, *map(len, parts)])
+    blobs = [packed(x[x[:, 2] > 1]) for x in (rows[a:b] for a, b in zip(cut[:-1], cut[1:]))]
+    none = pa.nulls(len(blobs), pa.binary())
+    return pa.table([table["place"], table["bucket"], pa.array(blobs, pa.binary()), none, none], DEALT_NAMES)
+
+
+def rare_keys(table: pa.Table, percent: int, buckets: int) -> pa.Table:
+    """Of a place: the keys of its sets, those of their rarest shingles that others have too, dealt to buckets."""
+    own = [r for r in table.to_pylist() if r["sets"] is not None][0]
+    node, size = unpacked(own["sets"], 2).T
+    rows = np.concatenate([np.zeros((0, 3), np.int64), *[unpacked(x, 3) for x in table["records"].to_pylist() if x is not None]])
+    common, single = unpacked(own["common"], 2), rows[:, 1] >= 0
+    once = rows[~single][np.argsort(rows[~single, 0])]
+    if len(once):  # every common shingle has an answer, as some sets have it
+        count = once[np.searchsorted(once[:, 0], common[:, 0]), 2]
+        rows = np.concatenate([rows[single], np.concatenate([common, count[:, None]], 1)])
+    key, owner, count = rows.T
+    shared = np.bincount(owner, minlength=len(size))
+    left = np.maximum(0, size - -(-percent * size // 100) + 1 - (size - shared))
+    order = np.lexsort((key, count, owner))
+    rank = np.arange(len(rows)) - np.repeat(np.cumsum(shared) - shared, shared)
+    kept = order[rank < left[owner[order]]]
+    found = np.zeros(len(kept), RECORD)
+    found["key"], found["node"], found["size"] = key[kept], node[owner[kept]], size[owner[kept]]
+    return pa.Table.from_batches([dealt(found, buckets)])
 
 
 def dealt(found: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -359,7 +332,7 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, and row (common.row_key) and label, which is equal in rows of one component, null without words.
 
     Words are runs of other characters than white space, with A-Z lower-cased; a text's set are its distinct shingles of
     n words, of fewer words the whole sequence as one. Two texts link when 100 * intersection >= percent * union;
@@ -368,7 +341,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
@@ -376,30 +349,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names(sets))], ["doc_id", "row", "n_shingles", "node"])
 
     named = staged(gathered(rows).mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
-    largest, total = named.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    bands = Bands(percent, largest) if percent >= SUBSETS else None
-    counts = None if bands else counted(rows, n)
-    buckets = max(4 * shuffle_width(spark), total * (100 - percent) // 50 // BUCKET_KEYS)
+    total, size = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0], rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges, buckets = max(4 * shuffle_width(spark), size // BUCKET_BYTES), max(4 * shuffle_width(spark), total * (100 - percent) // 100 // BUCKET_KEYS)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, room = TaskContext.get().partitionId() << 32, [], 0
         for _, data, offsets in textbytes.chunks(batches, 1, CHUNK):
-            sets = shingles(data, offsets, n)
-            key, owner = subset_keys(sets, bands) if bands else rare_keys(sets, percent, counts)
-            found = np.zeros(len(key), RECORD)
-            found["key"], found["node"], found["size"] = key, names(sets)[owner], np.array([len(s) for s in sets])[owner]
-            held.append(found)
-            size += len(found)
-            if size >= FLUSH:
-                yield dealt(np.concatenate(held), buckets)
-                held, size = [], 0
-        if size:
-            yield dealt(np.concatenate(held), buckets)
-
-    near = rows.select("doc_id", "text").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(lambda t: stars(t, percent), "a long, b long")
-    clusters = components(near)
+            held += shingles(data, offsets, n)
+            room += len(data)
+            if room >= PLACE_BYTES:
+                yield asked(place, held, ranges)
+                place, held, room = place + 1, [], 0
+        if held:
+            yield asked(place, held, ranges)
+
+    counts = gathered(rows).select("doc_id", "text").mapInArrow(ask, DEALT).groupBy("bucket").applyInArrow(counted, DEALT)
+    found = counts.groupBy("place").applyInArrow(lambda t: rare_keys(t, percent, buckets), "bucket int, records binary")
+    clusters = components(found.groupBy("bucket").applyInArrow(lambda t: stars(t, percent), "a long, b long"))
     first = named.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"))
-    wanted = clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster"))
+    wanted = staged(clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster")), "wanted", tasks_for(spark, size // 64))
+    wanted = small(wanted, wanted.count(), 48)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
@@ -410,7 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets = rows.join(wanted, "row").select("doc_id", "text", "cluster", "node").mapInArrow(tokens, "cluster long, node long, tokens binary")
     joined = components(tree_links(staged(sets, "tokens", tasks_for(spark, 8 * total)), percent))
     per_node = named.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    of = per_node.join(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+    of = per_node.join(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id", "label")
     full, none = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")
-    out = full.join(of, "node").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = full.join(of, "node").select("doc_id", "n_shingles", "component_id", "row", "label")
+    return out.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("label")))

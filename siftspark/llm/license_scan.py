@@ -54,7 +54,19 @@ SENTENCES = {
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
     "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liability",
     "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liability",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-ref",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "licensed under the mozilla public license version 2 0": "mpl2-ref",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-terms-later",
+    "either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "see the gnu lesser general public license for more details": "gpl-see",
+    "you should have received a copy of the gnu lesser general public license along with this library": "gpl-copy",
 }
 #: (licence, identifiers in this order and next to each other). Earlier rules win; what they match is used up.
 RULES = [
@@ -74,16 +86,19 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC-BY-4.0", ["cc-by-4"]),
+    ("MPL-2.0", ["mpl-terms", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-ref"]),
+    ("ISC", ["isc-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-terms-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "lgpl21-later"]),
 ]
 MAX_SENTENCES = 10_000
 #: A sentence without one of these is not about licences: it is not looked up.
-CRITICAL = "licen|permission|redistribut|warranty|copyright|version [0-9]+ of the"
-#: Sentences end at a line end, or at . ; : ! ? before white space or the end of the text.
-BREAK = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|[\x0A\x0D]+"
-
-
-#: The same without single line ends, which may be wraps: these end a sentence only if its lines, joined, aren't known.
+CRITICAL = "licen|permission|redistribut|warranty|copyright|version [0-9]+ of the|the mpl "
+#: Normalised sentences that only name a holder of rights: not licence sentences unless known, so they aren't unknown ones either.
+NOTICE = "^(the )?copyright (c )?[0-9]{4}( |$)|^(c )?copyright (c )?(by )?the [a-z ]* authors$"
+#: Sentences end at . ; : ! ? before white space or the end of the text, and at blank lines. Single line ends may be wraps:
+#: they end a sentence only if its lines, joined, aren't known.
 PIECE = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\x0D?\x0A[\x20\x09\x0D]*\x0A[\x20\x09-\x0D]*"
 
 
@@ -92,7 +107,7 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifiers(text: Column, known: dict[str, str]) -> Column:
-    """Identifiers in order, 'unknown' for a sentence that has a critical word and isn't known.
+    """Identifiers in order, 'unknown' for a sentence that has a critical word and isn't known, none for a copyright notice.
 
     Sentences are in lower case, each run of other characters than a-z and 0-9 as one space. Of the lines up to a
     sentence's end, the longest tail that is a known sentence is one; the lines before it stand by themselves.
@@ -105,7 +120,8 @@ def identifiers(text: Column, known: dict[str, str]) -> Column:
     none = F.expr("cast(array() as array<string>)")
 
     def alone(lines: Column) -> Column:
-        return F.transform(F.filter(lines, lambda s: s.rlike(CRITICAL)), lambda s: F.coalesce(F.element_at(table, normalised(s)), F.lit("unknown")))
+        named = F.transform(F.filter(lines, lambda s: s.rlike(CRITICAL)), lambda s: let(normalised(s), lambda x: F.coalesce(F.element_at(table, x), F.when(x.rlike(NOTICE), "notice").otherwise("unknown"))))
+        return F.filter(named, lambda x: x != "notice")
 
     def of(piece: Column) -> Column:
         lines = F.filter(F.split(piece, r"[\x0A\x0D]+", -1), lambda s: s.rlike("[a-z0-9]"))

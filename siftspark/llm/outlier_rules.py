@@ -1,9 +1,10 @@
 """Quality rules: base statistics, and robust multivariate outliers of them per language and source.
 
-For each group a minimum-covariance-determinant estimate: from medians and quartile ranges, concentration steps keep
-the H share of rows nearest to the centre and re-estimate mean and covariance from them, so that the determinant
-only falls; rows beyond CUTOFF in squared Mahalanobis distance go. All of it are aggregates by group; the distance
-uses a Cholesky factor written out as column expressions.
+For each group a minimum-covariance-determinant estimate: from one start, medians and quartile ranges, concentration
+steps keep the H share of rows nearest to the centre and re-estimate mean and covariance from them, so that the
+determinant only falls, until it stands still; a reweighting step takes mean and covariance of the rows up to INNER.
+Rows beyond CUTOFF in squared Mahalanobis distance go. All of it are aggregates by group; the distance uses a Cholesky
+factor written out as column expressions.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from siftspark.llm.common import SPACE, gathered, let, small, staged
 
-#: Share of a group's rows that a concentration step keeps, steps, and rows under which a group is judged by its language, a language by all rows.
-H, STEPS, LEAST = 0.75, 4, 50
+#: Share of a group's rows that a concentration step keeps, most steps, and rows under which a group is judged by its language, a language by all rows.
+H, STEPS, LEAST = 0.75, 30, 50
 #: Consistency factor of the covariance of the nearest H for five normal variables.
 FACTOR = 1.412
+#: The reweighting step takes the rows up to this squared distance, the 0.975 quantile for five normal variables, and its consistency factor.
+INNER, INNER_FACTOR = 12.83, 1.055
 #: Squared distance beyond which a row goes. Statistics of clean prose have longer tails than the normal distribution,
 #: so this is above its 0.999 quantile (20.5 for five variables).
 CUTOFF = 30.0
@@ -47,9 +50,9 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    group = F.concat(F.coalesce(lang_col, F.lit("")), F.lit("\x1f"))
+    language = F.coalesce(F.col(lang_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), group.alias("language"), F.concat(group, F.coalesce(source_col, F.lit(""))).alias("grp"), text.alias("body"),
+        F.col(id_col).alias("doc_id"), language.alias("language"), F.concat(F.lit("source\x1f"), language, F.lit("\x1f"), F.coalesce(source_col, F.lit(""))).alias("grp"), text.alias("body"),
         F.filter(F.split(text, SPACE + "+", -1), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
@@ -72,10 +75,10 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({x: v.cast("double") for x, v in zip(X, values)})
 
 
-def factored(moments: DataFrame) -> DataFrame:
-    """grp, means m_i and the Cholesky factor l_ij, from n, sums s_i and sums of products s_ij."""
+def factored(moments: DataFrame, factor: float) -> DataFrame:
+    """grp, means m_i and the Cholesky factor l_ij, from n, sums s_i and sums of products s_ij; covariances times `factor`."""
     out = moments.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
-    cov = {(i, j): (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * FACTOR for i in range(P) for j in range(i + 1)}
+    cov = {(i, j): (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor for i in range(P) for j in range(i + 1)}
     for i in range(P):
         for j in range(i + 1):
             less = sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
@@ -92,20 +95,31 @@ def distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0)))
 
 
+def moments(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)]
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 def estimates(rows: DataFrame, groups: int) -> DataFrame:
-    """Centre and factor by grp."""
+    """Centre and factor by grp: concentration steps until no group's determinant moves, then the reweighting step."""
     quarters = rows.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in X])
     zero = [F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)]
     found = quarters.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(X)], *zero, *[F.sqrt(F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) + FLOOR[i] ** 2).alias(f"l{i}_{i}") for i, x in enumerate(X)])
+    found = staged(found, "mcd-start", 1)
+    determinant = sum((F.log(f"l{i}_{i}") for i in range(P)), F.lit(0.0))
     for step in range(STEPS):
         near = distance(rows.join(small(found, groups, 300), "grp")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS))
         counts = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
         order = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         cut = counts.withColumns({"upto": F.sum("c").over(order), "all": F.sum("c").over(Window.partitionBy("grp"))}).filter(F.col("upto") >= F.col("all") * H).groupBy("grp").agg(F.min("bin").alias("cut"))
-        kept = near.join(small(cut, groups, 100), "grp").filter("bin <= cut")
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)]
-        found = staged(factored(kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)), f"mcd{step}")
-    return found
+        last, found = found, staged(factored(moments(near.join(small(cut, groups, 100), "grp").filter("bin <= cut")), FACTOR), f"mcd-{step}", 1)
+        both = found.select("grp", determinant.alias("now")).join(last.select("grp", determinant.alias("before")), "grp")
+        if not (both.agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0] or 0) > 1e-9:
+            break
+    near = distance(rows.join(small(found, groups, 300), "grp")).filter(F.col("d2") <= INNER)
+    better = factored(moments(near), INNER_FACTOR)
+    # A group whose rows are all beyond INNER keeps the estimate that was found.
+    return staged(better.unionByName(found.join(better.select("grp"), "grp", "left_anti")), "mcd", 1)
 
 
 def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -122,9 +136,10 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     languages = sizes.groupBy("language").agg(F.sum("n").alias("language_n"), F.min("n").alias("least"))
     rare = not languages.filter(F.col("language_n") < LEAST).isEmpty()
     known = sizes.join(small(languages, groups, 100), "language")
-    judge = F.when(F.col("n") >= LEAST, F.col("grp")).when(F.col("language_n") >= LEAST, F.col("language")).otherwise("")
+    pool = F.concat(F.lit("language\x1f"), "language")  # no group's name
+    judge = F.when(F.col("n") >= LEAST, F.col("grp")).when(F.col("language_n") >= LEAST, pool).otherwise("all")
     # A row is judged by one estimate, and takes part in that of its group, and of its language and all rows where those judge others.
-    part = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("grp")), F.when((F.col("least") < LEAST) & (F.col("language_n") >= LEAST), F.col("language")), F.when(F.lit(rare), F.lit(""))))
+    part = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("grp")), F.when((F.col("least") < LEAST) & (F.col("language_n") >= LEAST), pool), F.when(F.lit(rare), F.lit("all"))))
     pooled = staged(known.select(F.col("grp").alias("of"), judge.alias("pool"), part.alias("part")), "pools")
     keyed = rows.join(small(pooled, groups, 300), rows["grp"] == pooled["of"]).drop("of", "grp")
     found = estimates(keyed.filter(~F.col("base_failed")).select(F.explode("part").alias("grp"), *X), 2 * groups + 1)

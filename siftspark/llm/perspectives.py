@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import let
-
-#: Turn numbers of a part in the SQL, which splits longer dialogues; the operator renders them whole.
-TURNS = 1_000
-
-
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """One row per (conversation, participant): conv_id, part, speaker, n_turns, n_own_turns, text, spans, n_target_chars.
 

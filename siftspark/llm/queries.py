@@ -95,33 +95,39 @@ FROM urls u LEFT JOIN (SELECT * FROM ranked WHERE n = 1) k ON u.rid = k.rid
 
 
 def op7_sql() -> str:
-    known = ", ".join(f"WHEN {quoted(s)} THEN {quoted(i)}" for s, i in license_scan.SENTENCES.items())
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in license_scan.SENTENCES.items())
     steps, last, found = [], "seq", []
     for k, (_, ids) in enumerate(license_scan.RULES):
         pattern = quoted("," + ",,".join(ids) + ",")
-        keep = ", ".join(["doc_id", "ids", *(f"m{i}" for i in range(k))])
+        keep = ", ".join(["doc_id", "ids", "n", "unknown", *(f"m{i}" for i in range(k))])
         steps.append(f"s{k} AS (SELECT {keep}, contains(rest, {pattern}) AS m{k}, replace(rest, {pattern}, ',-,') AS rest FROM {last})")
         last = f"s{k}"
     for name in dict.fromkeys(n for n, _ in license_scan.RULES):
         hits = " OR ".join(f"m{k}" for k, (n, _) in enumerate(license_scan.RULES) if n == name)
         found.append(f"CASE WHEN {hits} THEN {quoted(name)} END")
+    critical, notice = quoted(license_scan.CRITICAL), quoted(license_scan.NOTICE)
+    norm = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
     return f"""
-WITH parts AS (
-  SELECT doc_id, list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), {quoted(license_scan.BREAK)}), lambda s: regexp_matches(s, {quoted(license_scan.CRITICAL)})),
-                                lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS lines FROM documents),
-named AS (SELECT doc_id, list_transform(lines, lambda s: CASE s {known.replace(", WHEN", " WHEN")} ELSE 'unknown' END) AS ids FROM parts),
-seq AS (SELECT doc_id, ids, ',' || coalesce(array_to_string(list_transform(ids, lambda x: x || ','), ','), '') AS rest FROM named),
+WITH known(sentence, id) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split_regex(lower(coalesce(text, '')), {quoted(license_scan.PIECE)}) AS ps FROM documents),
+lines AS (SELECT rid, p, list_filter(string_split_regex(ps[p], '[\\x0A\\x0D]+'), lambda s: regexp_matches(s, '[a-z0-9]')) AS ls
+  FROM docs, unnest(range(1, len(ps) + 1)) t(p) WHERE regexp_matches(ps[p], {critical})),
+tails AS (SELECT rid, p, min(i) AS i FROM (SELECT rid, p, i, {norm("array_to_string(ls[i:], ' ')")} AS s FROM lines, unnest(range(1, len(ls) + 1)) t(i) WHERE len(ls) > 1) JOIN known ON s = sentence GROUP BY rid, p),
+said AS (SELECT rid, p, l, ls[l] AS s FROM lines LEFT JOIN tails USING (rid, p), unnest(range(1, len(ls) + 1)) t(l) WHERE (i IS NULL OR l < i) AND regexp_matches(ls[l], {critical})
+  UNION ALL SELECT rid, p, i, array_to_string(ls[i:], ' ') FROM lines JOIN tails USING (rid, p)),
+named AS (SELECT rid, p, l, coalesce(id, 'unknown') AS id FROM (SELECT rid, p, l, {norm("s")} AS s FROM said) LEFT JOIN known ON s = sentence WHERE id IS NOT NULL OR NOT regexp_matches(s, {notice})),
+lists AS (SELECT rid, string_agg(id, ',' ORDER BY p, l) AS ids, string_agg(id || ',', ',' ORDER BY p, l) AS marked, count(*) AS n, count(*) FILTER (WHERE id = 'unknown') AS unknown FROM named GROUP BY rid),
+seq AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, coalesce(unknown, 0) AS unknown, ',' || coalesce(marked, '') AS rest FROM docs LEFT JOIN lists USING (rid)),
 {", ".join(steps)},
-done AS (SELECT doc_id, ids, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS found FROM {last})
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses,
-       len(list_filter(ids, lambda x: x = 'unknown'))::BIGINT AS n_unknown,
-       CASE WHEN len(ids) = 0 THEN 'none' WHEN len(found) = 0 THEN 'unknown' WHEN len(list_filter(ids, lambda x: x = 'unknown')) > 0 THEN 'partial' ELSE 'known' END AS status
+done AS (SELECT doc_id, ids, n, unknown, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS found FROM {last})
+SELECT doc_id, n::BIGINT AS n_sentences, ids AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses, unknown::BIGINT AS n_unknown,
+       CASE WHEN n = 0 THEN 'none' WHEN len(found) = 0 THEN 'unknown' WHEN unknown > 0 THEN 'partial' ELSE 'known' END AS status
 FROM done
 """
 
 
-OP9_SQL = f"""
-WITH said AS (SELECT DISTINCT conv_id, coalesce(floor(turn / {perspectives.TURNS}), 0)::BIGINT AS part, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+OP9_SQL = """
+WITH said AS (SELECT DISTINCT conv_id, 0::BIGINT AS part, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, part, role AS speaker FROM said WHERE role <> 'system'),
 pieces AS (
   SELECT p.conv_id, p.part, p.speaker, s.turn, s.role, s.text, s.role = p.speaker AS own,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import textbytes
-from siftspark.llm.common import gathered, staged
+from siftspark.llm.common import gathered, row_key, staged
 
 #: Buckets of the hashed n-grams, and the pseudo-count of each.
 BUCKETS, PSEUDO = 1 << 14, 1.0
@@ -32,9 +32,8 @@ CLASSES[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]]
 CLASSES[textbytes.SPACES] = 0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and each one's text. Tokens: runs of word bytes, and runs of other bytes, in lower case."""
-    data = textbytes.LOWER[data]
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and each one's text: runs of word bytes, and runs of other bytes, without white space."""
     kind = CLASSES[data]
     new = np.zeros(len(data) + 1, bool)
     new[1:-1] = kind[1:] != kind[:-1]
@@ -43,8 +42,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = edges[:-1], edges[1:]
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    one = textbytes.slice_hashes(textbytes.prefix_hashes(data), starts, ends)
+    return textbytes.slice_hashes(textbytes.prefix_hashes(data), starts, ends), np.searchsorted(offsets, starts, "right") - 1
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the texts, and each one's text; in lower case."""
+    one, owner = textbytes.by_block(tokens, textbytes.LOWER[data], offsets)
     pair = owner[1:] == owner[:-1]
     two = textbytes.mix(one[:-1] * textbytes.MULTIPLIER + one[1:])[pair]
     buckets = (np.concatenate([one, two]) & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -91,9 +94,9 @@ def weighed(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
                 buckets, owner = features(data, offsets)
                 n = np.bincount(owner, minlength=part.num_rows)
                 total = np.bincount(owner, ratio[buckets], minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "role", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "role", "row", "n_features", "log_weight"])
 
-    return marked.mapInArrow(run, "doc_id long, role int, n_features long, log_weight double")
+    return marked.mapInArrow(run, "doc_id long, role int, row long, n_features long, log_weight double")
 
 
 def kth_largest(keys: DataFrame, k: int, total: int) -> float | None:
@@ -120,16 +123,16 @@ def kth_largest(keys: DataFrame, k: int, total: int) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, miss: float = MISS, share: float | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_features, log_weight, key, kept.
+    """One row per input row: doc_id, n_features, log_weight, key, kept, row (common.row_key).
 
     good: condition on a label row. share: the share of the rows to draw; without it, k is the number of rows whose log
     weight per n-gram reaches the `miss` quantile of the labelled good rows held out, so that length doesn't set it. Without any such row, all rows are kept.
     Rows whose keys equal the k-th are all kept (repeated rows have equal keys). A null or empty text has weight 0;
     rows without id or label are weighed like others. Other columns are ignored.
     """
-    rows = gathered(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = gathered(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     chosen = staged(labelled(labels, good), "labels")
-    marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(2)).alias("role"))
+    marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(2)).alias("role"), "row")
     target, every = counted(marked)
     fitted = target.sum() > 0
     ratio = np.log(target + PSEUDO) - np.log(target.sum() + PSEUDO * BUCKETS) - np.log(every + PSEUDO) + np.log(every.sum() + PSEUDO * BUCKETS)
@@ -137,13 +140,13 @@ def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", t
     scored = staged(weighed(marked, ratio if fitted else np.zeros(BUCKETS)).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     total = scored.count()
     mean = F.col("log_weight") / F.greatest("n_features", F.lit(1))
-    held = [r[0] for r in scored.filter("role = 1").select(mean).limit(2 * SAMPLE).collect()]
+    held = scored.filter("role = 1").agg(F.percentile(mean, F.lit(miss)).alias("cut"), F.count(F.lit(1)).alias("n")).first()
     if share is not None:
         k = round(share * total)
-    elif held and fitted:
-        k = scored.filter(mean >= float(np.quantile(held, miss))).count()
+    elif held["n"] and fitted:
+        k = scored.filter(mean >= held["cut"]).count()
     else:
         k = total
     least = kth_largest(scored, k, total)
     kept = F.lit(False) if least is None else F.col("key") >= least
-    return scored.select("doc_id", "n_features", "log_weight", "key", kept.alias("kept"))
+    return scored.select("doc_id", "n_features", "log_weight", "key", kept.alias("kept"), "row")

@@ -100,3 +100,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def blocks(data: np.ndarray, at_once: int = CHUNK) -> Iterator[np.ndarray]:
+    """A text in blocks of about at_once bytes, each of which ends before white space: a run without it lies in one block."""
+    begin = 0
+    while begin < len(data):
+        end = begin + at_once
+        while end < len(data):
+            after = np.flatnonzero(SPACES[data[end : end + at_once]])
+            if len(after):
+                end += int(after[0])
+                break
+            end += at_once
+        yield data[begin:end]
+        begin = end
+
+
+def by_block(f, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """f(data, offsets), (values of the texts' parts, each one's text), of which no part holds white space; a long text is worked on in blocks."""
+    if len(offsets) != 2 or len(data) <= 2 * CHUNK:
+        return f(data, offsets)
+    out = np.concatenate([f(x, np.array([0, len(x)]))[0] for x in blocks(data)])
+    return out, np.zeros(len(out), np.int64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and each one's text."""
+    starts, ends, first = words(data, offsets)
+    return slice_hashes(prefix_hashes(data), starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))

@@ -38,6 +38,18 @@ def contains(x: Column, keyword: str) -> Column:
     return F.contains(ascii_fold(x), F.lit(keyword.translate(str.maketrans(UPPER, LOWER))))
 
 
+def holds(folded: Column, keyword: str) -> Column:
+    """Whether a struct of both foldings (long, short) contains any variant of the keyword: see contains()."""
+    out = None
+    for v in variants(keyword):
+        if len(v) >= LONG:
+            one = F.contains(folded["long"], F.lit(v.lower().replace("ς", "σ")))
+        else:
+            one = F.contains(folded["short"], F.lit(v.translate(str.maketrans(UPPER, LOWER))))
+        out = one if out is None else out | one
+    return F.coalesce(out, F.lit(False))
+
+
 def stripped(x: Column) -> Column:
     return F.btrim(x, F.lit(STRIPPED))
 

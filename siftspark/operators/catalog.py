@@ -1,13 +1,13 @@
-"""The file catalogue: merges of observed snapshots, with soft deletes. Snapshots are published by a pointer file."""
+"""The file catalogue: merges of observed snapshots, with soft deletes. Snapshots are published as numbered versions."""
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftspark import schemas
+from siftspark import schemas, shared
 
 
 def latest(observed: DataFrame, key: str = "path", order: tuple[str, ...] = ("scan_started_at",)) -> DataFrame:
@@ -44,12 +44,15 @@ def merged(files: DataFrame, observed: DataFrame, roots: list[str] | None = None
     return schemas.conformed(old.unionByName(fresh), schemas.FILES)
 
 
-def numbered(rows: DataFrame, ranges: int = 200) -> DataFrame:
-    """rows with nth, 1 to n in the order of path: ranks in ranges of paths, after the counts of the ranges before."""
-    parts = rows.repartitionByRange(ranges, "path").withColumn("range", F.spark_partition_id())
+def numbered(rows: DataFrame, ranges: int = 200, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """rows with nth, 1 to n in the order of `by`: ranks in ranges of it, after the counts of the ranges before.
+
+    The ranges are written first, as their bounds are drawn anew whenever they are computed.
+    """
+    parts = shared.written(rows.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("range").agg(F.count(F.lit(1)).alias("c"))  # one row a range
     before = counts.select("range", (F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
-    inner = Window.partitionBy("range").orderBy("path")
+    inner = Window.partitionBy("range").orderBy(*by)
     return parts.join(F.broadcast(before), "range").withColumn("nth", F.col("before") + F.row_number().over(inner)).drop("before", "range")
 
 
@@ -58,13 +61,31 @@ def replaced(table: DataFrame, new: DataFrame, key: str = "file_id") -> DataFram
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*table.columns))
 
 
-def publish(df: DataFrame, base: str) -> str:
-    """Write df as a new version under base and point CURRENT at it; readers see the old version or the new one."""
-    version = f"{base}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{base}/CURRENT")
-    return version
+VERSION = re.compile(r"v-(\d{12})")
+
 
+def versions(spark: SparkSession, base: str) -> tuple[list[str], int]:
+    """Complete versions under base, oldest first, and the number of the next one."""
+    top = shared.Folder(spark, base)
+    found = sorted(x for x in top.names() if VERSION.fullmatch(x))
+    return [x for x in found if top.has(f"{x}/_SUCCESS")], int(VERSION.fullmatch(found[-1])[1]) + 1 if found else 1
 
-def current(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{base}/CURRENT").first()[0])
+
+def publish(df: DataFrame, base: str, keep: int = 2) -> str:
+    """Write df as the next version under base: it counts once Spark marks it complete, so readers see the old version or the new one.
+
+    Of two writers at once one fails, as both write the same folder. Versions before the last `keep` are deleted.
+    """
+    done, number = versions(df.sparkSession, base)
+    name = f"v-{number:012d}"
+    df.write.parquet(f"{base}/{name}")
+    top = shared.Folder(df.sparkSession, base)
+    for old in [*done, name][: -max(1, keep)]:
+        top.delete(old)
+    return f"{base}/{name}"
+
+
+def current(spark: SparkSession, base: str) -> DataFrame | None:
+    """The last complete version; None before the first."""
+    done, _ = versions(spark, base)
+    return spark.read.parquet(f"{base}/{done[-1]}") if done else None

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import text
 
 LIMIT = 50
 
 
-def any_variant(x: Column, keyword: str) -> Column:
-    found = F.lit(False)
-    for v in text.variants(keyword):
-        found = found | text.contains(x, v)
-    return F.coalesce(found, F.lit(False))
+def tests(x: Column, words: list[str]) -> Column:
+    """For each keyword, whether x contains any of its variants; x is folded once a row."""
+    either = lambda v: [text.holds(v, w) for w in words]
+    return F.transform(F.array(F.struct(text.fold(x).alias("long"), text.ascii_fold(x).alias("short"))), lambda v: F.array(*either(v)))[0]
 
 
 def live(files: DataFrame) -> DataFrame:
@@ -24,29 +28,72 @@ def live(files: DataFrame) -> DataFrame:
 def matches(files: DataFrame, content: DataFrame | None, keywords: list[str]) -> DataFrame:
     """Live files that any keyword matches: their columns, matched_keywords (sorted), matched_in_name (or path), matched_in_content.
 
-    All keywords are tested in one pass; without content there is no shuffle.
+    All keywords are tested in one pass. Bodies are tested where they lie, and only the flags of those that match are joined;
+    without content there is no shuffle.
     """
     words = list(dict.fromkeys(s for s in (k.strip(text.STRIPPED) for k in keywords) if s))
     rows = live(files)
-    if content is not None:
-        rows = rows.join(content.select(F.col("file_id").alias("id"), F.col("text").alias("body")), "id", "left")
+    if not words:
+        none = F.lit(False)
+        return rows.filter(none).select(*files.columns, F.expr("cast(array() as array<string>)").alias("matched_keywords"), none.alias("matched_in_name"), none.alias("matched_in_content"))
+    any_of = lambda flags: F.exists(flags, lambda x: x)
+    # No name holds the character 0, so a keyword without it can't be found across the two; one with it is in neither.
+    rows = rows.withColumn("in_name", F.zip_with(tests(F.concat_ws("\0", "name", "path"), words), F.array(*[F.lit("\0" not in w) for w in words]), lambda a, b: a & b))
+    if content is None:
+        rows = rows.filter(any_of("in_name")).withColumn("in_body", F.lit(None).cast("array<boolean>"))
     else:
-        rows = rows.withColumn("body", F.lit(None).cast("string"))
-    tested = rows.withColumns({f"n{i}": any_variant(F.col("name"), w) | any_variant(F.col("path"), w) for i, w in enumerate(words)} | {f"b{i}": any_variant(F.col("body"), w) for i, w in enumerate(words)})
-    either = lambda c: F.greatest(F.lit(False), F.lit(False), *[F.col(f"{c}{i}") for i in range(len(words))])
-    found = F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"n{i}") | F.col(f"b{i}"), F.lit(w)) for i, w in enumerate(words)], F.lit(None).cast("string"))))
-    return tested.select(*files.columns, found.alias("matched_keywords"), either("n").alias("matched_in_name"), either("b").alias("matched_in_content")).filter(F.size("matched_keywords") > 0)
+        bodies = content.select(F.col("file_id").alias("body_id"), tests(F.col("text"), words).alias("in_body")).filter(any_of("in_body"))
+        rows = rows.join(bodies, rows["id"] == bodies["body_id"], "left").drop("body_id").filter(any_of("in_name") | F.col("in_body").isNotNull())
+    body = lambda i: F.coalesce(F.col("in_body")[i], F.lit(False))
+    found = F.sort_array(F.array_compact(F.array(*[F.when(F.col("in_name")[i] | body(i), F.lit(w)) for i, w in enumerate(words)])))
+    return rows.select(*files.columns, found.alias("matched_keywords"), any_of("in_name").alias("matched_in_name"), F.coalesce(any_of("in_body"), F.lit(False)).alias("matched_in_content"))
+
+
+#: Bytes of keywords whose automaton a task holds at once; more are taken in turns, each over all bodies.
+TURN_BYTES = 8 << 20
 
 
-def match_many(files: DataFrame, content: DataFrame, keywords: DataFrame, most: int = 100_000) -> DataFrame:
-    """(id, matched_keywords) for a table of keywords (keyword), matched against bodies; `most` keywords at most, which bounds the broadcast."""
+def match_many(files: DataFrame, content: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, matched_keywords) for a table of keywords (keyword), matched against bodies in one pass of an automaton for each TURN_BYTES of keywords."""
+    spark = files.sparkSession
     words = keywords.select(text.stripped(F.col("keyword")).alias("keyword")).filter("keyword <> ''").distinct()
-    if words.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} keywords")
-    bodies = live(files).join(content, files["id"] == content["file_id"]).select("id", text.fold(F.col("text")).alias("long"), text.ascii_fold(F.col("text")).alias("short"))
-    words = words.select("keyword", text.fold(F.col("keyword")).alias("k1"), text.ascii_fold(F.col("keyword")).alias("k2"), (F.length("keyword") >= text.LONG).alias("is_long"))
-    hit = (F.col("is_long") & F.contains("long", "k1")) | (~F.col("is_long") & F.contains("short", "k2"))
-    return bodies.join(F.broadcast(words), hit).groupBy("id").agg(F.sort_array(F.collect_set("keyword")).alias("matched_keywords"))
+    words = words.select("keyword", F.when(F.length("keyword") >= text.LONG, text.fold(F.col("keyword"))).alias("long"), F.when(F.length("keyword") < text.LONG, text.ascii_fold(F.col("keyword"))).alias("short"))
+    words = shared.written(words, "keywords")
+    size = words.agg(F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0))).first()[0]
+    turns = -(-size // TURN_BYTES)
+    bodies = live(files).select("id").join(content, F.col("id") == content["file_id"]).select("id", text.fold(F.col("text")).alias("long"), text.ascii_fold(F.col("text")).alias("short"))
+    out = spark.createDataFrame([], "id long, keyword string")
+    for turn in range(turns):
+        mine = [tuple(r) for r in words.filter(F.pmod(F.xxhash64("keyword"), F.lit(turns)) == turn).collect()]
+        if mine:
+            out = out.unionByName(bodies.mapInArrow(_automaton(spark.sparkContext.broadcast(mine)), "id long, keyword string"))
+    return out.groupBy("id").agg(F.sort_array(F.collect_set("keyword")).alias("matched_keywords"))
+
+
+def _automaton(words: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        known: list[dict[str, list[str]]] = [{}, {}]
+        for keyword, *folded in words.value:
+            for held, x in zip(known, folded):
+                if x is not None:
+                    held.setdefault(x, []).append(keyword)
+        made = []
+        for held in known:
+            made.append(Automaton())
+            for x, names in held.items():
+                made[-1].add_word(x, names)
+            made[-1].make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for key, *bodies in zip(*(c.to_pylist() for c in batch.columns)):
+                hits = {name for body, held in zip(bodies, made) if body is not None and len(held) for _, names in held.iter(body) for name in names}
+                ids += [key] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "keyword"])
+
+    return run
 
 
 def passes(extensions: list[str] | None, recency_days: int | None, now: float) -> Column:

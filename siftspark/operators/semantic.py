@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions import text, vectors
@@ -17,6 +18,8 @@ MIN_SCORE, MOST = 0.75, 10
 LEAST_CHUNKS, GROWTH, NULLS = 5_000, 1.5, 0.3
 SAMPLE, ROUNDS, SEED = 50_000, 10, 12_345
 DIGITS = 6
+#: Share of the nearest chunks that probes_for() aims at: more than 0.9, as it sees a sample.
+RECALL = 0.93
 
 
 def choose_k(total: int) -> int:
@@ -49,7 +52,7 @@ def best_per_file(scores: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def semantic_search(chunks: DataFrame, files: DataFrame, query: list[float], exclude: DataFrame | None = None, limit: int = MOST, min_score: float = MIN_SCORE, clusters: list[int] | None = None) -> DataFrame:
-    """(file_id, semantic_score, snippet, rank): the best `limit` files but those in exclude (id); texts are fetched for these only."""
+    """(file_id, semantic_score, snippet): the best `limit` files but those in exclude (id); texts are fetched for these only."""
     best = best_per_file(scored(chunks, files, query, clusters), min_score)
     if exclude is not None:
         best = best.join(exclude.select(F.col("id").alias("file_id")), "file_id", "left_anti")
@@ -63,11 +66,11 @@ def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vecto
     return rows.select(id_col, vectors.dot(F.col(vector_col), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_clusters(centroids: list[tuple[int, list[float]]], query: list[float]) -> list[int]:
-    """Clusters to probe, nearest first; the centroids are at most 1,024."""
+def top_clusters(centroids: list[tuple[int, list[float]]], query: list[float], probes: int | None = None) -> list[int]:
+    """Clusters to probe, nearest first, by the fixed rule or `probes` of them; the centroids are at most 1,024."""
     at = np.array([c for _, c in centroids], np.float64) @ np.array(query, np.float64)
     order = sorted(range(len(at)), key=lambda i: (-at[i], centroids[i][0]))
-    return [centroids[i][0] for i in order[: nprobe_for(len(centroids))]]
+    return [centroids[i][0] for i in order[: probes or nprobe_for(len(centroids))]]
 
 
 def load_centroids(centroids: DataFrame, meta: DataFrame, dim: int) -> list[tuple[int, list[float]]] | None:
@@ -109,8 +112,20 @@ def rebuild_decision(chunks: DataFrame, meta: DataFrame) -> Column | DataFrame:
 
 def sampled(chunks: DataFrame, dim: int, most: int = SAMPLE) -> np.ndarray:
     """At most `most` vectors, in the order of a hash of their id, so that any part of the corpus may be among them."""
-    rows = chunks.filter(F.size("embedding") == dim).select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    return np.array([r["embedding"] for r in rows], np.float64)
+    rows = chunks.filter(F.size("embedding") == dim).select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(most)
+    found = rows.select("embedding").toArrow()["embedding"].combine_chunks()
+    return found.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+
+
+def probes_for(sample: np.ndarray, centers: np.ndarray, target: float = RECALL, k: int = MOST, queries: int = 512) -> int:
+    """The least number of probes, by the fixed rule at least, that finds `target` of the k nearest of sampled vectors among the sample. Searching without clusters is the exact way."""
+    label = (sample @ centers.T).argmax(1)
+    asked = sample[:: max(1, len(sample) // queries)][:queries]
+    order = np.argsort(np.argsort(-(asked @ centers.T), 1, kind="stable"), 1)
+    near = np.argpartition(-(asked @ sample.T), min(k, len(sample)) - 1, 1)[:, :k]
+    rank = np.take_along_axis(order, label[near], 1)
+    found = np.cumsum(np.bincount(rank.ravel(), minlength=len(centers))) / rank.size
+    return max(nprobe_for(len(centers)), int(np.searchsorted(found, target)) + 1)
 
 
 def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -128,6 +143,47 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int
     return centers
 
 
+def nearest_of(chunks: DataFrame, asked: DataFrame, centroids: list[tuple[int, list[float]]], probes: int, k: int = MOST, block: int = 4_096) -> DataFrame:
+    """(qid, near: the k nearest chunks of each vector of asked (id, embedding), best first, as (d, id, seen); scanned): seen if probing sees it.
+
+    Vectors are asked in blocks, which bounds what is broadcast; each task hands on its own k nearest only.
+    """
+    dim, ids = len(centroids[0][1]), np.array([i for i, _ in centroids])
+    matrix = np.array([c for _, c in centroids], np.float64)
+    rows = asked.filter(F.size("embedding") == dim).select("id", "embedding")
+    blocks = max(1, -(-rows.count() // block))
+    out = None
+    for number in range(blocks):
+        mine = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
+        if not mine.num_rows:
+            continue
+        names = mine["id"].to_numpy()
+        vectors_ = mine["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+        probed = ids[np.argsort(-(vectors_ @ matrix.T), 1, kind="stable")[:, :probes]]
+        held = chunks.sparkSession.sparkContext.broadcast((names, vectors_, probed))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, asked, probed = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key, cluster = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+                distance = -(asked @ batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim).T)
+                seen = (probed[:, :, None] == cluster).any(1)
+                top = np.argpartition(distance, min(k, len(key)) - 1, 1)[:, :k]
+                q = np.repeat(np.arange(len(names)), top.shape[1])
+                at = top.ravel()
+                share = np.repeat(seen.sum(1) / top.shape[1], top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(distance[q, at]), pa.array(key[at]), pa.array(seen[q, at]), pa.array(share), pa.array(np.full(len(q), len(key) / top.shape[1]))], ["qid", "d", "id", "seen", "scanned", "all"])
+
+        found = chunks.filter(F.size("embedding") == dim).select("id", "embedding", "cluster_id").mapInArrow(run, "qid long, d double, id long, seen boolean, scanned double, all double")
+        out = found if out is None else out.unionByName(found)
+    order = Window.partitionBy("qid").orderBy("d", "id")
+    sizes = out.groupBy("qid").agg((F.sum("scanned") / F.sum("all")).alias("scanned"))
+    best = out.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("d", "id", "seen"))).alias("near"))
+    return best.join(sizes, "qid")
+
+
 def build(chunks: DataFrame, k: int | None = None) -> tuple[list[tuple[int, list[float]]], DataFrame] | None:
     """(centroids, chunks with new clusters): fitted on a bounded sample, assigned to every row of the dominant dimension."""
     dim = dominant_dim(chunks)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark import schemas
+from siftspark import schemas, shared
 from siftspark.functions import text, vectors
 from siftspark.operators import catalog, content, hybrid, match, semantic, stats
 from siftspark.plans import tables
@@ -182,22 +182,20 @@ def kmeans_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ivf_recall")
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the ten nearest chunks of every twentieth chunk: the share that probing finds, and the share of rows scanned."""
-    centroids, chunks = semantic.build(tables.chunks(spark, sf_dir))
-    near = spark.createDataFrame(centroids, schemas.CENTROIDS)
-    asked = chunks.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("v"))
-    close = asked.join(F.broadcast(near), F.size("v") == F.size("centroid")).groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-vectors.dot(F.col("v"), F.col("centroid"))).alias("d"), "cluster_id"))), 1, semantic.nprobe_for(len(centroids))).alias("top"))
-    asked = asked.join(close.select("qid", F.col("top.cluster_id").alias("probe")), "qid")
-    pairs = chunks.join(F.broadcast(asked), F.size("embedding") == F.size("v")).select("qid", "id", vectors.dot(F.col("embedding"), F.col("v")).alias("s"), F.array_contains("probe", F.col("cluster_id")).alias("seen"))
-    per = pairs.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("d"), "id", "seen"))), 1, 10).alias("top"), F.avg(F.col("seen").cast("int")).alias("scanned"))
-    return per.agg(F.round(F.avg(F.size(F.filter("top", lambda x: x["seen"])) / F.size("top")), 6).alias("recall_at_10"), F.round(F.avg("scanned"), 6).alias("scanned_share"))
+    rows = tables.chunks(spark, sf_dir)
+    centroids, chunks = semantic.build(rows)
+    sample = semantic.sampled(rows, len(centroids[0][1]))
+    probes = semantic.probes_for(sample, np.array([c for _, c in centroids], np.float64))
+    per = semantic.nearest_of(chunks, rows.filter("id % 20 = 0"), centroids, probes)
+    return per.agg(F.round(F.avg(F.size(F.filter("near", lambda x: x["seen"])) / F.size("near")), 6).alias("recall_at_10"), F.round(F.avg("scanned"), 6).alias("scanned_share"), F.first(F.lit(probes)).alias("probes"))
 
 
-@register("hybrid_full", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {_Q}, {found_sql(['doc_12', 'doc_9'], False)}, {ranked_sql(['.txt', '.md', '.pdf'])}, {near_sql(' WHERE b.file_id NOT IN (SELECT id FROM found)')},
+@register("hybrid_full", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {_Q}, {found_sql(['doc_12', 'doc_9', 'THE EREA'], True)}, {ranked_sql(['.txt', '.md', '.pdf'])}, {near_sql(' WHERE b.file_id NOT IN (SELECT id FROM found)')},
 both_parts AS (SELECT id, path, kws, NULL::DOUBLE AS score, NULL AS snippet, 0 AS part, rank AS at_rank FROM ranked
   UNION ALL SELECT f.id, f.path, [], n.score, n.snippet, 1, NULL FROM near n JOIN files f ON f.id = n.file_id WHERE {pass_sql(['.txt', '.md', '.pdf'], None)})
 SELECT id, path, array_to_string(kws, ',') AS matched_keywords, round(score, 6) AS semantic_score, snippet, row_number() OVER (ORDER BY part, at_rank, score DESC, id)::INTEGER AS rank FROM both_parts ORDER BY rank LIMIT 50""")
 def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hybrid.hybrid_search(tables.files(spark, sf_dir), tables.bodies(spark, sf_dir), ["doc_12", "doc_9"], [".txt", ".md", ".pdf"], None, NOW, chunks=tables.chunks(spark, sf_dir), query=tables.query_vector(spark, sf_dir), min_score=MIN_SCORE)
+    found = hybrid.hybrid_search(tables.files(spark, sf_dir), tables.bodies(spark, sf_dir), ["doc_12", "doc_9", "THE EREA"], [".txt", ".md", ".pdf"], None, NOW, chunks=tables.chunks(spark, sf_dir), query=tables.query_vector(spark, sf_dir), min_score=MIN_SCORE)
     return found.select("id", "path", F.array_join("matched_keywords", ",").alias("matched_keywords"), "semantic_score", "snippet", "rank")
 
 
@@ -261,7 +259,9 @@ def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.counts(tables.files(spark, sf_dir), tables.content(spark, sf_dir), tables.chunks(spark, sf_dir))
 
 
-_RATIO = "CASE WHEN ext IN (" + ", ".join(map(q, extract.PLAIN)) + ") THEN 1.0 WHEN ext IN ('.docx', '.xlsx', '.pptx') THEN 0.06 WHEN ext = '.pdf' THEN 0.10 ELSE 0 END::DOUBLE"
+#: Fixed values, as SQL has them of its own.
+_PLAIN = "'.txt', '.md', '.csv', '.json', '.xml', '.html', '.htm', '.log', '.ini', '.yaml', '.yml', '.py', '.js', '.ts', '.css', '.java', '.c', '.cpp', '.h', '.hpp', '.cs', '.go', '.rb', '.php', '.sh', '.bat', '.ps1', '.sql', '.rtf'"
+_RATIO = f"CASE WHEN ext IN ({_PLAIN}) THEN 1.0 WHEN ext IN ('.docx', '.xlsx', '.pptx') THEN 0.06 WHEN ext = '.pdf' THEN 0.10 ELSE 0 END::DOUBLE"
 _CALIBRATED = "calib AS (SELECT f.ext, count(*) AS n, sum(f.size)::BIGINT AS src_bytes, sum(strlen(c.text))::BIGINT AS text_bytes, sum(strlen(c.text)) / sum(f.size) AS ratio FROM files f JOIN content c ON c.file_id = f.id WHERE c.error IS NULL GROUP BY f.ext HAVING count(*) >= 5 AND sum(f.size) > 0)"
 
 
@@ -286,7 +286,7 @@ def overhead_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.overhead_ratio(tables.content(spark, sf_dir), tables.chunks(spark, sf_dir)).select(F.round("overhead_ratio", 9).alias("overhead_ratio"))
 
 
-_EXTRACTABLE = ", ".join(map(q, extract.extractable()))
+_EXTRACTABLE = f"{_PLAIN}, '.pdf', '.docx', '.xlsx', '.pptx'"
 _ACTIONS = f"""joined AS (SELECT f.id, f.mtime, c.file_id, c.extracted_at, c.error, c.embedded_at FROM files f LEFT JOIN content c ON c.file_id = f.id WHERE f.is_deleted = 0 AND f.ext IN ({_EXTRACTABLE})),
 acted AS (SELECT id, CASE WHEN file_id IS NULL OR extracted_at < mtime OR error IS NOT NULL THEN 'extract' ELSE 'embed' END AS action FROM joined"""
 
@@ -354,8 +354,7 @@ def latest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_upsert", _LATEST)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream, merged batch by batch into a published table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siftspark-')}"
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = tables.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     snapshots.drained(snapshots.keep_up(_events(source), f"{base}/table", f"{base}/checkpoint", "user_id", ("ts", "event_id")))

@@ -50,6 +50,52 @@ class HashEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+#: Texts of one run of a model, and tokens of a text that it sees.
+BATCH, TOKENS = 16, 512
+
+
+class Pooled:
+    """An embedder of a session's token vectors: their mean over the real tokens, of unit length.
+
+    encode(texts) gives (ids, mask), padded, of TOKENS tokens at most; run(ids, mask) gives vectors of (text, token, dimension).
+    """
+
+    def __init__(self, encode: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        self.encode, self.run = encode, run
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = []
+        for first in range(0, len(texts), BATCH):
+            ids, mask = self.encode(texts[first : first + BATCH], TOKENS)
+            weight = mask[:, :, None].astype(np.float32)
+            mean = (self.run(ids, mask) * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+            out.append(mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9))
+        return np.concatenate(out).astype(np.float32) if out else np.zeros((0, 0), np.float32)
+
+
+def onnx_embedder(folder: str) -> Pooled:
+    """The model (model.onnx, tokenizer.json) in a folder that every worker sees."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+    tokenizer.enable_padding()
+    session = onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
+    takes, gives = {x.name for x in session.get_inputs()}, [x.name for x in session.get_outputs()]
+    result = "last_hidden_state" if "last_hidden_state" in gives else gives[0]
+
+    def encode(texts: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+        tokenizer.enable_truncation(most)
+        found = tokenizer.encode_batch(texts)
+        return np.array([e.ids for e in found], np.int64), np.array([e.attention_mask for e in found], np.int64)
+
+    def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return session.run([result], {k: v for k, v in feed.items() if k in takes})[0]
+
+    return Pooled(encode, run)
+
+
 def passages(make: Callable[[], Embedder]):
     """A pandas UDF that embeds texts; each worker makes its embedder once."""
 

@@ -10,6 +10,9 @@ CONTENT = "file_id long, text string, char_count long, extracted_at double, extr
 CHUNKS = "id long, file_id long, chunk_index int, chunk_text string, embedding array<float>, cluster_id int"
 OBSERVATION = "path string, name string, ext string, dir string, size long, mtime double, scan_started_at double"
 CENTROIDS = "cluster_id int, centroid array<float>"
+INDEX_META = "dim int, built_at double, indexed_chunk_count long, probes int"
+CALIBRATION = "ext string, n long, src_bytes long, text_bytes long, ratio double, computed_at double"
+STATUS = "name string, value double"
 
 
 def conformed(df: DataFrame, schema: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import queue
+import stat
+import string
 import sys
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor, TimeoutError
+import threading
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -14,56 +17,62 @@ ROOT_TIMEOUT, DRIVE_TIMEOUT = 30, 5
 SCHEMA = "path string, name string, ext string, dir string, size long, mtime double, scan_started_at double, error string"
 
 
-def drives() -> list[str]:
-    """Drive letters that answer in time; elsewhere the root."""
-    if sys.platform != "win32":
-        return ["/"]
-    with ThreadPoolExecutor() as pool:
-        found = {d: pool.submit(os.path.exists, d) for d in (f"{c}:\\" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
-        return [d for d, f in found.items() if _answer(f, DRIVE_TIMEOUT)]
+def within(seconds: float, call: Callable[[], object]) -> object:
+    """call's result. A call that takes longer raises TimeoutError and is left behind in its daemon thread, for which nobody waits."""
+    box: queue.SimpleQueue = queue.SimpleQueue()
 
+    def run() -> None:
+        try:
+            box.put((call(), None))
+        except OSError as e:
+            box.put((None, e))
 
-def _answer(future, seconds: float):
+    threading.Thread(target=run, daemon=True).start()
     try:
-        return future.result(seconds)
-    except (TimeoutError, OSError):
-        return None
-
-
-def roots_of(all_drives: bool, folders: list[str]) -> list[str]:
-    return drives() if all_drives else [f for f in folders if os.path.isdir(f)]
+        value, error = box.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer in {seconds} s") from None
+    if error:
+        raise error
+    return value
+
+
+def roots_of(all_drives: bool, folders: list[str], windows: bool = sys.platform == "win32", seconds: float = DRIVE_TIMEOUT) -> Iterator[tuple[str, bool]]:
+    """Each root asked for, and whether it can be walked: the folders, or all drives (one root on systems without drives)."""
+    asked = [f"{c}:\\" for c in string.ascii_uppercase] if all_drives and windows else [os.sep] if all_drives else folders
+    for root in asked:
+        try:
+            yield root, bool(within(seconds, lambda: os.path.isdir(root)))
+        except (TimeoutError, OSError):
+            yield root, False
 
 
-def hidden(entry: os.DirEntry) -> bool:
-    if entry.name.startswith("."):
-        return True
-    return bool(getattr(entry.stat(follow_symlinks=False), "st_file_attributes", 0) & 2)
+def hidden(name: str, about: os.stat_result) -> bool:
+    """By a leading dot, or by the attribute that Windows keeps."""
+    return name.startswith(".") or bool(getattr(about, "st_file_attributes", 0) & stat.FILE_ATTRIBUTE_HIDDEN)
 
 
-def listed(root: str, no_folders: set[str], no_extensions: set[str], started: float) -> Iterator[tuple]:
+def listed(root: str, no_folders: set[str], no_extensions: set[str], started: float, scan: Callable = os.scandir, seconds: float = ROOT_TIMEOUT) -> Iterator[tuple]:
     """Rows of one root: depth first, without hidden entries and links; unreadable entries give a row with an error."""
-    with ThreadPoolExecutor(1) as pool:
-        first = pool.submit(lambda: list(os.scandir(root)))
-        try:
-            stack = [(root, first.result(ROOT_TIMEOUT))]
-        except (TimeoutError, OSError) as e:
-            yield (root, None, None, None, None, None, started, f"{type(e).__name__}: {e}")
-            return
+    try:
+        stack = [(root, within(seconds, lambda: list(scan(root))))]
+    except (TimeoutError, OSError) as e:
+        yield (root, None, None, None, None, None, started, f"{type(e).__name__}: {e}")
+        return
     while stack:
         folder, entries = stack.pop()
         for entry in entries:
             try:
-                if hidden(entry) or entry.is_symlink() or entry.is_junction():
+                about = entry.stat(follow_symlinks=False)
+                if hidden(entry.name, about) or entry.is_symlink() or entry.is_junction():
                     continue
-                if entry.is_dir(follow_symlinks=False):
+                if stat.S_ISDIR(about.st_mode):
                     if entry.name.lower() not in no_folders:
-                        stack.append((entry.path, list(os.scandir(entry.path))))
+                        stack.append((entry.path, list(scan(entry.path))))
                     continue
                 ext = os.path.splitext(entry.name)[1].lower()
-                if ext in no_extensions or not entry.is_file(follow_symlinks=False):
-                    continue
-                about = entry.stat(follow_symlinks=False)
-                yield (entry.path, entry.name, ext, folder, about.st_size, about.st_mtime, started, None)
+                if ext not in no_extensions and stat.S_ISREG(about.st_mode):
+                    yield (entry.path, entry.name, ext, folder, about.st_size, about.st_mtime, started, None)
             except OSError as e:
                 yield (entry.path, None, None, None, None, None, started, f"{type(e).__name__}: {e}")
 

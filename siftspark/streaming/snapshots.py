@@ -19,12 +19,8 @@ def keep_up(observed: DataFrame, base: str, checkpoint: str, key: str, order: tu
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            rows = catalog.current(spark, base).unionByName(batch)
-        except Exception as e:
-            if number or "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch
+        before = catalog.current(spark, base)
+        rows = batch if before is None else before.unionByName(batch)
         catalog.publish(catalog.latest(rows, key, order), base)
         if then:
             then(batch, number)

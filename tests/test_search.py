@@ -1,5 +1,7 @@
 import os
 import sqlite3
+import time
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from siftspark.engine import Engine, Settings
 from siftspark.functions import text
 from siftspark.operators import catalog, content, match, semantic, stats
 from siftspark.sources import extract
-from siftspark.sources.walk import Walk, roots_of
+from siftspark.sources.walk import Walk, listed, roots_of
 
 FILES = "id long, path string, name string, ext string, dir string, size long, mtime double, is_deleted int, last_seen_at double"
 
@@ -70,7 +72,7 @@ def test_engine(spark):
     assert [r["name"] for r in found][0] == "cats.txt" and len(found) == 3 and found[1]["semantic_score"] is not None
     assert engine.search_local(["bark"]).first()["matched_in_content"]
     assert engine.search("purr", 0.0, expander=lambda q: "broken").count() == 1
-    assert engine.preview(1).first()["text"] == "dogs bark"
+    assert engine.preview(1)["text"] == "dogs bark" and engine.preview(9) is None
 
 
 def test_expansion():
@@ -103,7 +105,7 @@ def test_walk(spark, tmp_path):
     rows = spark.read.format("walk").options(roots=json.dumps([str(tmp_path), "/nowhere"]), exclude_folders='["node_modules"]', exclude_extensions='[".tmp"]', started="3").load().collect()
     assert sorted(r["name"] for r in rows if not r["error"]) == ["_x.txt", "empty.bin", "y.md"]
     assert [r["path"] for r in rows if r["error"]] == ["/nowhere"]
-    assert roots_of(False, [str(tmp_path), "/nowhere"]) == [str(tmp_path)]
+    assert list(roots_of(False, [str(tmp_path), "/nowhere"])) == [(str(tmp_path), True), ("/nowhere", False)]
 
 
 def test_extract(spark):
@@ -134,3 +136,114 @@ def test_hybrid_full_bodies(spark, monkeypatch):
     rows = {r["id"]: r for r in queries.QUERIES["hybrid_full"](spark, "/root/testdata/sf0.001").collect()}
     assert 12 in rows and rows[12]["matched_keywords"] == "doc_12"
     assert 32 in rows and rows[32]["matched_keywords"] == "doc_12"
+
+
+def test_numbers_of_many_new_paths(spark):
+    """Ids of 600,000 new paths are 1 to n in their order, and the same the second time, with all columns read."""
+    seen = spark.range(600_000).select(
+        F.concat(F.lit("/d/"), F.sha2(F.col("id").cast("string").cast("binary"), 224)).alias("path"), F.col("id").cast("string").alias("name"), F.lit(".x").alias("ext"), F.lit("/d").alias("dir"),
+        F.col("id").alias("size"), F.col("id").cast("double").alias("mtime"), F.lit(7.0).alias("scan_started_at"),
+    )
+    sums = []
+    for _ in range(2):
+        rows = catalog.merged(files(spark, []), seen)
+        one = rows.agg(F.count("id"), F.countDistinct("id"), F.min("id"), F.max("id"), F.bit_xor(F.xxhash64("id", "path", "name", "size", "mtime"))).first()
+        assert tuple(one)[:4] == (600_000, 600_000, 1, 600_000)
+        sums.append(one[4])
+    assert sums[0] == sums[1]
+    ordered = [r["path"] for r in rows.orderBy("id").limit(1_000).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_plain_extensions():
+    fixed = ".txt .md .csv .json .xml .html .htm .log .ini .yaml .yml .py .js .ts .css .java .c .cpp .h .hpp .cs .go .rb .php .sh .bat .ps1 .sql .rtf"
+    assert set(extract.PLAIN) == set(fixed.split()) and len(extract.PLAIN) == 29
+    assert set(extract.extractable()) - set(extract.PLAIN) == {".pdf", ".docx", ".xlsx", ".pptx"}
+
+
+def test_limits_of_time_hold(tmp_path):
+    """A lister or a reader that hangs is left behind, and what comes after it is read."""
+    began = time.time()
+    rows = list(listed(str(tmp_path), set(), set(), 1.0, scan=lambda p: time.sleep(20) or [], seconds=0.5))
+    assert len(rows) == 1 and "TimeoutError" in rows[0][-1]
+    guard = extract.Guard()
+    assert guard(lambda: time.sleep(20), 0.5) == ("", "timeout after 0.5 s")
+    assert guard(lambda: "next", 5) == ("next", None)
+    assert time.time() - began < 5
+
+
+def test_documents_of_office_formats(monkeypatch):
+    """Readers, with libraries that are stood in for: paragraphs before cells, cells of tables, values without empty ones."""
+    cell = lambda t: SimpleNamespace(text=t)
+    table = SimpleNamespace(rows=[SimpleNamespace(cells=[cell("c1"), cell("c2")])])
+    shape = lambda **k: SimpleNamespace(**{"has_text_frame": False, "has_table": False} | k)
+    paragraph = SimpleNamespace(runs=[SimpleNamespace(text="a"), SimpleNamespace(text="b")])
+    stands = {
+        "docx": SimpleNamespace(Document=lambda f: SimpleNamespace(paragraphs=[cell("p1"), cell("p2")], tables=[table])),
+        "openpyxl": SimpleNamespace(load_workbook=lambda f, **k: SimpleNamespace(worksheets=[SimpleNamespace(values=[(1, None, "x"), (True, 2.5)])])),
+        "pptx": SimpleNamespace(Presentation=lambda f: SimpleNamespace(slides=[SimpleNamespace(shapes=[shape(has_text_frame=True, text_frame=SimpleNamespace(paragraphs=[paragraph])), shape(has_table=True, table=table)])])),
+        "pypdf": SimpleNamespace(PdfReader=lambda f: SimpleNamespace(is_encrypted=True, decrypt=lambda p: 0, pages=[])),
+    }
+    monkeypatch.setattr(extract.importlib, "import_module", lambda name: stands[name])
+    got = {e: extract.text_of(b"", e) for e in (".docx", ".xlsx", ".pptx", ".pdf")}
+    assert got == {".docx": ("p1\np2\nc1\nc2", None), ".xlsx": ("1\nx\nTrue\n2.5", None), ".pptx": ("ab\nc1\nc2", None), ".pdf": ("", "encrypted with a password")}
+
+
+def test_published_versions(spark, tmp_path):
+    """Readers see complete versions only; a version that broke off is passed over, and old ones are deleted."""
+    base = f"file://{tmp_path}/t"
+    assert catalog.current(spark, base) is None
+    for n in range(1, 5):
+        catalog.publish(spark.range(n), base)
+        assert catalog.current(spark, base).count() == n
+    assert sorted(os.listdir(tmp_path / "t")) == ["v-000000000003", "v-000000000004"]
+    (tmp_path / "t" / "v-000000000005").mkdir()
+    assert catalog.current(spark, base).count() == 4
+    catalog.publish(spark.range(9), base)
+    assert catalog.current(spark, base).count() == 9
+
+
+def test_matches_by_brute_force(spark):
+    """Names, paths and bodies with keywords of every kind, also empty, with the separator, and across name and path."""
+    names = ["Alpha.txt", "beta.md", "b", "フクスポ.txt", "", "x.y"]
+    bodies = ["no word", None, "ALPHA and ふくすぽ", "Ab", "", "txt/d/x"]
+    table = files(spark, names)
+    body = spark.createDataFrame(list(enumerate(bodies)), "file_id long, text string")
+    words = ["alpha", "ab", "フクスポ", " ", "t/d", "x.y", "a\0b", "txt"]
+    fold = lambda k, x: x.lower() if len(k) >= 3 else x.translate(str.maketrans(text.UPPER, text.LOWER))
+    has = lambda k, x: x is not None and any(fold(v, v) in fold(v, x) for v in text.variants(k))
+    want = {}
+    for i, (n, b) in enumerate(zip(names, bodies)):
+        named = [w for w in words if w.strip() and (has(w, n) or has(w, f"/d/{n}"))]
+        inside = [w for w in words if w.strip() and has(w, b)]
+        if named or inside:
+            want[i] = (sorted({*named, *inside}), bool(named), bool(inside))
+    got = {r["id"]: (r["matched_keywords"], r["matched_in_name"], r["matched_in_content"]) for r in match.matches(table, body, words).collect()}
+    assert got == want
+    assert {r["id"] for r in match.matches(table, None, words).collect()} == {i for i, w in want.items() if w[1]}
+    assert match.matches(table, body, [""]).count() == 0
+
+
+def test_many_keywords_in_turns(spark, monkeypatch):
+    table = files(spark, ["a", "b", "c"])
+    body = spark.createDataFrame([(0, "one TWO three"), (1, None), (2, "twofold")], "file_id long, text string")
+    words = spark.createDataFrame([("two",), ("one",), (" ",), ("ee",), ("EE",), ("none",)], "keyword string")
+    for size in (match.TURN_BYTES, 4):
+        monkeypatch.setattr(match, "TURN_BYTES", size)
+        assert {r["id"]: r["matched_keywords"] for r in match.match_many(table, body, words).collect()} == {0: ["EE", "ee", "one", "two"], 2: ["two"]}
+    assert match.match_many(table, body, words.limit(0)).count() == 0
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(300, 8)).astype(np.float32)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, embedding array<float>")
+    centroids, placed = semantic.build(chunks)
+    sample = semantic.sampled(chunks, 8)
+    assert sample.shape == (300, 8)
+    probes = semantic.probes_for(sample, np.array([c for _, c in centroids], np.float64))
+    rows = {r["qid"]: r for r in semantic.nearest_of(placed, chunks.filter("id % 20 = 0"), centroids, probes, block=4).collect()}
+    scores = data.astype(np.float64) @ data.astype(np.float64).T
+    for i in range(0, 300, 20):
+        assert [x["id"] for x in rows[i]["near"]] == np.argsort(-scores[i], kind="stable")[:10].tolist()
+    assert np.mean([x["seen"] for r in rows.values() for x in r["near"]]) >= 0.85

@@ -36,4 +36,4 @@ def test_same_rows(spark, duck, name):
 def test_without_sql(spark):
     assert queries.QUERIES["kmeans_build"](spark, DIR).agg({"chunks": "sum"}).first()[0] == 500
     row = queries.QUERIES["ivf_recall"](spark, DIR).first()
-    assert 0 < row["scanned_share"] < 1 and row["recall_at_10"] > row["scanned_share"]
+    assert 0 < row["scanned_share"] < 1 and row["recall_at_10"] >= 0.9

@@ -27,7 +27,7 @@ from siftspark.llm.difference_cover import TEXTS, Row, exchange, least_in, packe
 
 LENGTH = 200
 #: Bytes of text of one place, about (a longer text is one place), and of those whose samples one bucket gets.
-PLACE_BYTES, BUCKET_BYTES = 1 << 23, 1 << 23
+PLACE_BYTES, BUCKET_BYTES = 1 << 22, 1 << 23
 #: Windows of a block.
 BLOCK = 1 << 20
 

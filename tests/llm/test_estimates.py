@@ -77,7 +77,7 @@ def test_estimate_follows_numpy(spark):
     assert len(got) == len(rows)
     for r in got:
         assert abs(r["distance"] - want[r["doc_id"]][0]) <= 1e-6 * max(1, r["distance"]) and r["kept"] == want[r["doc_id"]][1], r
-    assert 0 < sum(not k for _, k in want.values()) < 60
+    assert 0 < sum(not k for _, k in want.values()) < len(rows) / 2
 
 
 def test_very_long_texts(spark):

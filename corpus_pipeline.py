@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import documents, row_key, staged
+from siftspark.llm.common import documents, row_key, small, staged
 from siftspark.llm.exact_dedup import exact_groups, normalised
 from siftspark.llm.jaccard import jaccard_components
 from siftspark.llm.packing import pack_documents
@@ -22,9 +22,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows (doc_id, row) of gone."""
+    """docs without the rows (doc_id, row) of gone; texts are shuffled only if gone is too large to be broadcast."""
     rows = docs.select(*COLUMNS, row_key("doc_id", "text").alias("row"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    gone = staged(gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "gone")
+    gone = small(gone, gone.count(), 32)
     return rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["row"] == gone["gone_row"]), "left_anti").select(*COLUMNS)
 
 
@@ -40,6 +41,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = staged(ids.filter("not any or n > 1"), "copies")
     rows = docs.select(*COLUMNS, F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
     gone = ids.filter("not any").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    gone = small(gone, gone.count(), 128)
     left = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["text_sha256"] == gone["gone_sha"]), "left_anti")
     if not ids.filter("any").isEmpty():
         left = left.dropDuplicates(["doc_id", "text_sha256"])

@@ -1,13 +1,14 @@
 """Exact deduplication with heavy hitters split off.
 
 Digests that many rows share would send those rows to one task. A Misra-Gries summary (Spark's frequent-items
-sketch, merged in two levels) names the candidates, one exact count verifies them, and the verified winners are
-broadcast: their rows are settled where they lie. The other digests take the ordinary shuffle.
+sketch, merged level by level) names the candidates, one exact count verifies them, and the verified winners are
+broadcast: their rows are settled where they lie. The other digests take the ordinary shuffle: counts and first rows
+are summed up by each task before they meet, and joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.common import SPACE, gathered, staged
@@ -16,7 +17,7 @@ from siftspark.llm.common import SPACE, gathered, staged
 TRACKED = 1024
 #: A winner has at least rows / SPLIT rows; at most SPLIT digests can be winners, which bounds the broadcast.
 SPLIT = 256
-#: Summaries merged into one on the first level: those of this many neighbouring tasks.
+#: Summaries merged into one on each level: those of this many neighbouring tasks.
 FAN_IN = 64
 
 
@@ -25,12 +26,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")
 
 
-def frequent(digests: DataFrame) -> DataFrame:
-    """(key): at most SPLIT candidates for frequent digests, by merged Misra-Gries summaries."""
-    task = F.shiftright("rid", 33 + FAN_IN.bit_length() - 1)
-    first = digests.groupBy(task.alias("part")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(text_sha256), {TRACKED})").alias("state"))
+def frequent(digests: DataFrame, parts: int) -> DataFrame:
+    """(key): at most SPLIT candidates for frequent digests, by merged Misra-Gries summaries; rows are of `parts` tasks."""
+    width = FAN_IN.bit_length() - 1
+    task = F.shiftright("rid", 33)
+    merged = digests.groupBy(F.shiftright(task, width).alias("part")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(text_sha256), {TRACKED})").alias("state"))
     # By a key, as a task without rows would hand on a summary without a type, which can't be merged.
-    merged = first.groupBy(F.lit(0).alias("one")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {TRACKED}), {SPLIT})").alias("top"))
+    combine = F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state")
+    while (parts := parts >> width) > FAN_IN:
+        merged = merged.groupBy(F.shiftright("part", width).alias("part")).agg(combine)
+    merged = merged.groupBy(F.lit(0).alias("one")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {TRACKED}), {SPLIT})").alias("top"))
     return merged.select(F.explode("top.item").alias("key"))
 
 
@@ -46,18 +51,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "digests",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid")))
-    size = digests.count()
+    size, parts = digests.agg(F.count(F.lit(1)), F.coalesce(F.max(F.shiftright("rid", 33)), F.lit(0)) + 1).first()
     verified = (
         digests.withColumn("key", F.xxhash64("text_sha256"))
-        .join(F.broadcast(frequent(digests)), "key", "left_semi")
+        .join(F.broadcast(frequent(digests, parts)), "key", "left_semi")
         .groupBy("text_sha256")
         .agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
         .filter(F.col("group_size") * SPLIT >= F.lit(size))
         .filter("group_size > 1")
     )
-    winners = staged(verified, "winners")
+    winners = staged(verified, "winners", 1)
     heavy = digests.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").withColumns({"group_size": F.count(F.lit(1)).over(group), "first": first.over(group)})
+    others = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    rest = others.join(others.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")), "text_sha256")
     columns = ["doc_id", F.col("first.keep_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.keep_rid")).alias("kept"), "text_sha256"]
     return heavy.select(*columns).unionByName(rest.select(*columns))

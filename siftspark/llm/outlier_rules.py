@@ -23,8 +23,8 @@ FACTOR = 1.412
 #: The reweighting step takes the rows up to this squared distance, the 0.975 quantile for five normal variables, and its consistency factor.
 INNER, INNER_FACTOR = 12.83, 1.055
 #: Squared distance beyond which a row goes. Statistics of clean prose have longer tails than the normal distribution,
-#: so this is above its 0.999 quantile (20.5 for five variables).
-CUTOFF = 30.0
+#: so this is its 0.99999 quantile for five variables.
+CUTOFF = 30.86
 #: Spread below which a statistic's differences don't count: added, squared, to the variances. Each is small enough
 #: that its statistic alone can pass CUTOFF; repeated words reach only the square root of 0.2, as the base rule ends there.
 FLOOR = (0.06, 0.05, 0.10, 0.07, 0.06)

@@ -131,7 +131,7 @@ def resample(docs: DataFrame, labels: DataFrame, good, id_col: str = "doc_id", t
     rows without id or label are weighed like others. Other columns are ignored.
     """
     rows = gathered(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
-    chosen = staged(labelled(labels, good), "labels")
+    chosen = staged(labelled(labels, good), "labels", 1)
     marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(2)).alias("role"), "row")
     target, every = counted(marked)
     fitted = target.sum() > 0

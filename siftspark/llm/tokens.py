@@ -128,7 +128,7 @@ class Encoder:
         return self.pattern.findall(text)
 
     def pieces(self, text: str) -> list[str]:
-        if self.specials and "<|" in text:
+        if any(t in text for t in self.vocabulary.special):
             found = []
             for k, part in enumerate(self.specials.split(text)):
                 found += [part] * bool(part) if k % 2 else self.split(part)
@@ -213,7 +213,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes whole texts in one pass."""
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes whole texts in one pass.
+
+    A null text counts as empty and has no tokens; repeated rows are encoded each; an empty table gives none; other
+    columns are ignored. A text is worked on whole, with some tens of bytes for each of its own.
+    """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,9 @@ SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a task that writes an intermediate table, about.
 TASK_BYTES = 32 << 20
-#: Spark's setting that deletes a query's shuffle files when it has ended.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while an intermediate table is written: shuffle files go when it is done, and Python gets texts in
+#: batches of a few MB.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _own: dict[str, str] = {}
 
@@ -32,14 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def tasks_for(spark: SparkSession, volume: int) -> int:
-    """Tasks, and so files, for a table of about `volume` bytes: TASK_BYTES each, but two a core at least."""
-    return min(1 << 24, max(2 * spark.sparkContext.defaultParallelism, volume // TASK_BYTES))
+def tasks_for(spark: SparkSession, volume: int, a_core: float = 2.0) -> int:
+    """Tasks, and so files, for a table of about `volume` bytes: TASK_BYTES each, but `a_core` of them a core at least."""
+    return min(1 << 24, max(1, int(a_core * spark.sparkContext.defaultParallelism), volume // TASK_BYTES))
+
+
+def volume(df: DataFrame) -> int:
+    """Bytes of df by the planner's estimate: those of its files, if it is a table that is read."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
 
 
 def gathered(df: DataFrame) -> DataFrame:
     """df in no more tasks than its volume, by the planner's estimate, needs."""
-    return df.coalesce(tasks_for(df.sparkSession, df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(tasks_for(df.sparkSession, volume(df)))
 
 
 class Table:
@@ -47,12 +53,14 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str, tasks: int | None = None) -> None:
         self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             (df.coalesce(tasks) if tasks else df).write.parquet(self.path)
         finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

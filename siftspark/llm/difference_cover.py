@@ -517,13 +517,13 @@ def compared(texts: DataFrame, state: DataFrame, depth: int, tasks: int) -> Tabl
 
 
 def repeated(texts: Table, depth: int, tasks: int) -> Table:
-    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed. texts has rows of TEXTS; tasks write a table."""
-    word = span_of(depth) + GRAM
-    now = ranked_words(texts.df, depth, tasks)
+    """(place, spans): the ranges in each place's input where strings of `depth` bytes start that also start elsewhere, packed. texts has rows of TEXTS; tasks write a table, fewer if it holds no texts."""
+    word, few = span_of(depth) + GRAM, max(1, tasks // 4, min(tasks, texts.spark.sparkContext.defaultParallelism))
+    now = ranked_words(texts.df, depth, few)
 
     def step(ask, columns, answer, take, label):
         nonlocal now
-        done = exchange(now.df, ask, columns, answer, take, STATE, label, tasks, True)
+        done = exchange(now.df, ask, columns, answer, take, STATE, label, few, True)
         now.drop()
         now = done
 

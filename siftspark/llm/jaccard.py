@@ -37,6 +37,8 @@ BUCKET_KEYS, TASK_BYTES = 1 << 19, 4 << 20
 RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
 #: Bytes of text shingled at once, of a place, and of those whose shingles one bucket counts, about.
 CHUNK, PLACE_BYTES, BUCKET_BYTES = 1 << 19, 1 << 23, 1 << 23
+#: Rows of names and numbers that a task writes, about.
+ROWS = 1 << 20
 #: Sets of a place from which a shingle is dealt once for all of them.
 COMMON = 64
 #: Bits of a shingle's hash that are counted and make its key: two shingles with the same ones only make a comparison more.
@@ -306,7 +308,7 @@ def tree_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the sets (cluster, node, tokens) of each cluster as all links would."""
     spark = sets.sparkSession
     total = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0]
-    tasks, files = max(shuffle_width(spark), total // TASK_BYTES), tasks_for(spark, total)
+    tasks, files = max(shuffle_width(spark), total // TASK_BYTES), tasks_for(spark, total, 1)
     sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     sets = staged(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int")), "sets", files)
     # Of a cluster of several blocks, about PIVOTS sets are in every block: they join most components across blocks.
@@ -349,7 +351,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names(sets))], ["doc_id", "row", "n_shingles", "node"])
 
     named = staged(gathered(rows).mapInArrow(name, "doc_id long, row long, n_shingles long, node long"), "named")
-    total, size = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0], rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, sets = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges, buckets = max(4 * shuffle_width(spark), size // BUCKET_BYTES), max(4 * shuffle_width(spark), total * (100 - percent) // 100 // BUCKET_KEYS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +369,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     counts = gathered(rows).select("doc_id", "text").mapInArrow(ask, DEALT).groupBy("bucket").applyInArrow(counted, DEALT)
     found = counts.groupBy("place").applyInArrow(lambda t: rare_keys(t, percent, buckets), "bucket int, records binary")
     clusters = components(found.groupBy("bucket").applyInArrow(lambda t: stars(t, percent), "a long, b long"))
-    first = named.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"))
-    wanted = staged(clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster")), "wanted", tasks_for(spark, size // 64))
-    wanted = small(wanted, wanted.count(), 48)
+    first = named.filter("n_shingles > 0").groupBy("node").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    wanted = staged(clusters.join(first, "node").select("row", "node", F.col("component").alias("cluster"), "n"), "wanted", 1 + sets // ROWS)
+    found, held = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = small(wanted.drop("n"), found, 48)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in textbytes.chunks(batches, 1, CHUNK):
@@ -377,7 +381,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             yield out.filter(pa.array(names(sets) == part.column(3).to_numpy()))  # not of another row whose hash is the same
 
     sets = rows.join(wanted, "row").select("doc_id", "text", "cluster", "node").mapInArrow(tokens, "cluster long, node long, tokens binary")
-    joined = components(tree_links(staged(sets, "tokens", tasks_for(spark, 8 * total)), percent))
+    joined = components(tree_links(staged(sets, "tokens", tasks_for(spark, 8 * held, 1)), percent))
     per_node = named.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
     of = per_node.join(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id", "label")
     full, none = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import documents, row_key, small, staged
+from siftspark.llm.common import documents, row_key, small, staged, tasks_for, volume
 from siftspark.llm.exact_dedup import exact_groups, normalised
 from siftspark.llm.jaccard import jaccard_components
 from siftspark.llm.packing import pack_documents
@@ -24,9 +24,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows (doc_id, row) of gone; texts are shuffled only if gone is too large to be broadcast."""
     rows = docs.select(*COLUMNS, row_key("doc_id", "text").alias("row"))
-    gone = staged(gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "gone")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
     gone = small(gone, gone.count(), 32)
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["row"] == gone["gone_row"]), "left_anti").select(*COLUMNS)
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["row"] == gone["gone_row"]), "left_anti").select(*COLUMNS).coalesce(tasks_for(docs.sparkSession, volume(docs)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +38,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that are equal but for white space; rows without id come last, and a repeated row stays once."""
     ids = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.count(F.lit(1)).alias("n"))
-    ids = staged(ids.filter("not any or n > 1"), "copies")
+    ids = staged(ids.filter("not any or n > 1"), "copies", 1 + docs.count() // (1 << 20))
     rows = docs.select(*COLUMNS, F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
     gone = ids.filter("not any").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
     gone = small(gone, gone.count(), 128)
     left = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["text_sha256"] == gone["gone_sha"]), "left_anti")
     if not ids.filter("any").isEmpty():
         left = left.dropDuplicates(["doc_id", "text_sha256"])
-    return left.select(*COLUMNS)
+    return left.select(*COLUMNS).coalesce(tasks_for(spark, volume(docs)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one with the smallest id stays; rows without id come last, and of rows with one id the one with the least key of its text.
     """
-    found = staged(jaccard_components(docs, n=5, percent=80).filter("label is not null").select("label", "doc_id", "row"), "components")
+    found = staged(jaccard_components(docs, n=5, percent=80).filter("label is not null").select("label", "doc_id", "row"), "components", 1 + docs.count() // (1 << 20))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     first = found.groupBy("label").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return without(docs, found.join(first, "label").filter(place != F.col("first")))

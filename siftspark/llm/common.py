@@ -13,10 +13,14 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Bytes that a broadcast side may have; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a task that writes an intermediate table, about.
-TASK_BYTES = 32 << 20
-#: Spark's settings while an intermediate table is written: shuffle files go when it is done, and Python gets texts in
-#: batches of a few MB.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+TASK_BYTES = 8 << 20
+#: Spark's setting that deletes a query's shuffle files when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings for rows with long texts, which the operators set for the session: rows that a scan decodes at once, and
+#: that Python gets at once. Spark's own, 4,096 and 10,000, are for short rows, and take some 100 MB a task here.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Bytes of a row group of an intermediate table: a writer holds one, and a reader a column of it.
+ROW_GROUP = 4 << 20
 
 _own: dict[str, str] = {}
 
@@ -44,7 +48,9 @@ def volume(df: DataFrame) -> int:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in no more tasks than its volume, by the planner's estimate, needs."""
+    """df, texts that an operator reads, in no more tasks than its volume, by the planner's estimate, needs."""
+    for k, v in LONG_ROWS.items():
+        df.sparkSession.conf.set(k, v)
     return df.coalesce(tasks_for(df.sparkSession, volume(df)))
 
 
@@ -53,14 +59,12 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str, tasks: int | None = None) -> None:
         self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/siftspark-{uuid.uuid4().hex}/{label}"
-        before = {k: self.spark.conf.get(k, None) for k in WRITING}
-        for k, v in WRITING.items():
-            self.spark.conf.set(k, v)
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
         try:
-            (df.coalesce(tasks) if tasks else df).write.parquet(self.path)
+            (df.coalesce(tasks) if tasks else df).write.option("parquet.block.size", ROW_GROUP).parquet(self.path)
         finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

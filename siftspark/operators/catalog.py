@@ -44,11 +44,12 @@ def merged(files: DataFrame, observed: DataFrame, roots: list[str] | None = None
     return schemas.conformed(old.unionByName(fresh), schemas.FILES)
 
 
-def numbered(rows: DataFrame, ranges: int = 200, by: tuple[str, ...] = ("path",)) -> DataFrame:
+def numbered(rows: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """rows with nth, 1 to n in the order of `by`: ranks in ranges of it, after the counts of the ranges before.
 
-    The ranges are written first, as their bounds are drawn anew whenever they are computed.
+    There are as many ranges as shuffle partitions. They are written first, as their bounds are drawn anew whenever they are computed.
     """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = shared.written(rows.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("range").agg(F.count(F.lit(1)).alias("c"))  # one row a range
     before = counts.select("range", (F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))

@@ -100,11 +100,11 @@ def keyword_variants_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.matches(rows, None, KANA).select("id", "name", F.array_join("matched_keywords", ",").alias("matched_keywords"))
 
 
-@register("content_match_many_keywords", f"""WITH {FILES_SQL}, words AS (SELECT DISTINCT trim(substr(text, 1, 20), ' ' || chr(10)) AS keyword FROM benchmark)
+@register("content_match_many_keywords", f"""WITH {FILES_SQL}, words AS (SELECT DISTINCT trim(text, ' ' || chr(10)) AS keyword FROM benchmark)
 SELECT f.id, string_agg(keyword, '|' ORDER BY keyword) AS matched_keywords FROM files f JOIN documents d ON d.doc_id = f.id JOIN words ON contains(translate(lower(d.text), 'ς', 'σ'), translate(lower(keyword), 'ς', 'σ'))
 WHERE f.is_deleted = 0 GROUP BY f.id""")
 def content_match_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tables.table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 20).alias("keyword"))
+    words = tables.table(spark, sf_dir, "benchmark").select(F.col("text").alias("keyword"))
     found = match.match_many(tables.files(spark, sf_dir), tables.bodies(spark, sf_dir), words)
     return found.select("id", F.array_join("matched_keywords", "|").alias("matched_keywords"))
 
@@ -240,9 +240,9 @@ def preview_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.freshness(tables.content(spark, sf_dir), disk)
 
 
-@register("tokenize_query", r"SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), '|') AS words FROM conversations WHERE role = 'user'")
+@register("tokenize_query", r"SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), '|') AS words FROM conversations")
 def tokenize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array_join(text.keywords_of(F.col("text")), "|").alias("words"))
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.keywords_of(F.col("text")), "|").alias("words"))
 
 
 @register("path_parts", r"""WITH n AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ SAMPLE, ROUNDS, SEED = 50_000, 10, 12_345
 DIGITS = 6
 #: Share of the nearest chunks that probes_for() aims at: more than 0.9, as it sees a sample.
 RECALL = 0.93
+#: Pairs of a vector asked and a row whose distances a task holds at once (8 bytes each, and some more to pick from them).
+CELLS = 1 << 20
 
 
 def choose_k(total: int) -> int:
@@ -143,6 +146,41 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int
     return centers
 
 
+def nearest_in(batches: Iterator[pa.RecordBatch], asked: np.ndarray, seen_in: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, id, seen) of the k rows (id, embedding, cluster_id) nearest to each vector of asked, by d and then id; seen_in: whether probing sees each cluster of ids, and in its last column any other.
+
+    Distances are held for CELLS pairs at once, whatever the batches' rows.
+    """
+    best = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0), bool)
+    step = max(k, CELLS // max(1, len(asked)))
+    for batch in batches:
+        for begin in range(0, batch.num_rows, step):
+            part = batch.slice(begin, step)
+            order = pc.array_sort_indices(part.column(0))
+            key, cluster = part.column(0).take(order).to_numpy(), pc.fill_null(pc.index_in(part.column(2).take(order), value_set=pa.array(ids, part.column(2).type)), len(ids)).to_numpy()
+            distance = asked @ -part.column(1).take(order).flatten().to_numpy().astype(np.float64).reshape(len(key), -1).T
+            top = least(distance, k)
+            row = np.arange(len(asked))[:, None]
+            d, key, seen = (np.concatenate(x, 1) for x in zip(best, (distance[row, top], key[top], seen_in[row, cluster[top]])))
+            first = np.lexsort((key, d))[:, :k]
+            best = d[row, first], key[row, first], seen[row, first]
+    return best
+
+
+def least(x: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, in any order; of equal ones the first."""
+    if x.shape[1] <= k:
+        return np.broadcast_to(np.arange(x.shape[1]), x.shape)
+    top = np.argpartition(x, k - 1, 1)[:, :k]
+    most = np.take_along_axis(x, top, 1).max(1, keepdims=True)
+    tied = np.flatnonzero((x <= most).sum(1) > k)
+    if len(tied):
+        below, equal = x[tied] < most[tied], x[tied] == most[tied]
+        equal &= np.cumsum(equal, 1) <= k - below.sum(1, keepdims=True)
+        top[tied] = np.nonzero(below | equal)[1].reshape(-1, k)
+    return top
+
+
 def nearest_of(chunks: DataFrame, asked: DataFrame, centroids: list[tuple[int, list[float]]], probes: int, k: int = MOST, block: int = 4_096) -> DataFrame:
     """(qid, near: the k nearest chunks of each vector of asked (id, embedding), best first, as (d, id, seen); scanned): seen if probing sees it.
 
@@ -151,37 +189,32 @@ def nearest_of(chunks: DataFrame, asked: DataFrame, centroids: list[tuple[int, l
     dim, ids = len(centroids[0][1]), np.array([i for i, _ in centroids])
     matrix = np.array([c for _, c in centroids], np.float64)
     rows = asked.filter(F.size("embedding") == dim).select("id", "embedding")
+    chunks = chunks.filter(F.size("embedding") == dim).select("id", "embedding", "cluster_id")
+    sizes = {r["cluster_id"]: r["count"] for r in chunks.groupBy("cluster_id").count().collect()}
+    of, all_ = np.array([sizes.get(i, 0) for i in ids.tolist()]), sum(sizes.values())
     blocks = max(1, -(-rows.count() // block))
     out = None
     for number in range(blocks):
         mine = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
-        if not mine.num_rows:
+        if not mine.num_rows and (out is not None or number < blocks - 1):
             continue
         names = mine["id"].to_numpy()
         vectors_ = mine["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-        probed = ids[np.argsort(-(vectors_ @ matrix.T), 1, kind="stable")[:, :probes]]
-        held = chunks.sparkSession.sparkContext.broadcast((names, vectors_, probed))
+        seen_in = np.zeros((len(names), len(ids) + 1), bool)
+        np.put_along_axis(seen_in, np.argsort(-(vectors_ @ matrix.T), 1, kind="stable")[:, :probes], True, 1)
+        held = chunks.sparkSession.sparkContext.broadcast((names, vectors_, seen_in, seen_in[:, :-1] @ of / max(1, all_)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, asked, probed = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key, cluster = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-                distance = -(asked @ batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim).T)
-                seen = (probed[:, :, None] == cluster).any(1)
-                top = np.argpartition(distance, min(k, len(key)) - 1, 1)[:, :k]
-                q = np.repeat(np.arange(len(names)), top.shape[1])
-                at = top.ravel()
-                share = np.repeat(seen.sum(1) / top.shape[1], top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(distance[q, at]), pa.array(key[at]), pa.array(seen[q, at]), pa.array(share), pa.array(np.full(len(q), len(key) / top.shape[1]))], ["qid", "d", "id", "seen", "scanned", "all"])
-
-        found = chunks.filter(F.size("embedding") == dim).select("id", "embedding", "cluster_id").mapInArrow(run, "qid long, d double, id long, seen boolean, scanned double, all double")
+            names, asked, seen_in, scanned = held.value
+            d, key, seen = nearest_in(batches, asked, seen_in, ids, k)
+            q = np.repeat(np.arange(len(names)), d.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(d.ravel()), pa.array(key.ravel()), pa.array(seen.ravel()), pa.array(scanned[q])], ["qid", "d", "id", "seen", "scanned"])
+
+        found = chunks.mapInArrow(run, "qid long, d double, id long, seen boolean, scanned double")
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("qid").orderBy("d", "id")
-    sizes = out.groupBy("qid").agg((F.sum("scanned") / F.sum("all")).alias("scanned"))
-    best = out.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("d", "id", "seen"))).alias("near"))
-    return best.join(sizes, "qid")
+    best = out.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    return best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("d", "id", "seen"))).alias("near"), F.first("scanned").alias("scanned"))
 
 
 def build(chunks: DataFrame, k: int | None = None) -> tuple[list[tuple[int, list[float]]], DataFrame] | None:

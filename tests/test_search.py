@@ -1,9 +1,11 @@
 import os
 import sqlite3
 import time
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from siftspark import providers
 from siftspark.engine import Engine, Settings
@@ -247,3 +249,39 @@ def test_nearest_in_blocks(spark):
     for i in range(0, 300, 20):
         assert [x["id"] for x in rows[i]["near"]] == np.argsort(-scores[i], kind="stable")[:10].tolist()
     assert np.mean([x["seen"] for r in rows.values() for x in r["near"]]) >= 0.85
+
+
+def test_nearest_in_bounded_memory():
+    """4,096 vectors against a batch of 10,000 rows and 40 probes took over 2 GB."""
+    rng = np.random.default_rng(5)
+    data, asked = rng.normal(size=(10_000, 8)).astype(np.float32), rng.normal(size=(4_096, 8))
+    cluster = rng.integers(0, 300, 10_000).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), 8).cast(pa.list_(pa.float32())), pa.array(cluster)], ["id", "embedding", "cluster_id"])
+    seen_in = np.concatenate([rng.random((4_096, 300)) < 40 / 300, np.zeros((4_096, 1), bool)], 1)
+    tracemalloc.start()
+    d, ids, seen = semantic.nearest_in(iter([batch]), asked, seen_in, np.arange(300), 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    scores = asked[:50] @ data.astype(np.float64).T
+    assert (ids[:50] == np.argsort(-scores, 1, kind="stable")[:, :10]).all()
+    assert (seen == seen_in[np.arange(4_096)[:, None], cluster[ids]]).all()
+
+
+def test_nearest_of_equal_vectors(spark):
+    """Of copies those with the least ids are the nearest, in whatever order they come; scanned counts rows of probed clusters."""
+    rng = np.random.default_rng(6)
+    data = np.repeat(rng.integers(-2, 3, size=(12, 4)), 25, 0).astype(np.float32)
+    order = rng.permutation(len(data))
+    chunks = spark.createDataFrame([(int(i), data[i].tolist(), int(i) % 3 if i % 7 else None) for i in order], "id long, embedding array<float>, cluster_id int")
+    centroids = [(0, [1.0, 0, 0, 0]), (1, [0, 1.0, 0, 0]), (2, [-1.0, 0, 0, 0])]
+    rows = {r["qid"]: r for r in semantic.nearest_of(chunks, chunks.filter("id % 20 = 0"), centroids, 2, block=8).collect()}
+    scores = data.astype(np.float64) @ data.astype(np.float64).T
+    assert set(rows) == set(range(0, 300, 20))
+    for i, r in rows.items():
+        want = np.argsort(-scores[i], kind="stable")[:10].tolist()
+        probed = set(np.argsort(-(data[i] @ np.array([c for _, c in centroids]).T), kind="stable")[:2].tolist())
+        assert [x["id"] for x in r["near"]] == want
+        assert [x["seen"] for x in r["near"]] == [j % 7 > 0 and j % 3 in probed for j in want]
+        assert abs(r["scanned"] - sum(j % 7 > 0 and j % 3 in probed for j in range(300)) / 300) < 1e-9
+    assert semantic.nearest_of(chunks, chunks.limit(0), centroids, 2).count() == 0

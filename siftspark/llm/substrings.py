@@ -28,15 +28,15 @@ from siftspark.llm.difference_cover import TEXTS, Row, exchange, least_in, packe
 LENGTH = 200
 #: Bytes of text of one place, about (a longer text is one place), and of those whose samples one bucket gets.
 PLACE_BYTES, BUCKET_BYTES = 1 << 22, 1 << 23
-#: Windows of a block.
-BLOCK = 1 << 20
+#: Windows of a block, and those whose hashes are held at once (a run of one sample that is cut there is only asked for twice).
+BLOCK, HASHED = 1 << 20, 1 << 18
 
 
 def samples(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """(first, last, hash): first and last window of each run of windows with one sample, and the sample's hash."""
     gram, out = length // 2, [np.zeros((0, 3), np.int64)]
-    for begin in range(0, max(0, len(data) - length + 1), BLOCK):
-        part = data[begin : begin + BLOCK + length - 1]
+    for begin in range(0, max(0, len(data) - length + 1), HASHED):
+        part = data[begin : begin + HASHED + length - 1]
         place = np.arange(len(part) - gram + 1)
         hashes = textbytes.slice_hashes(textbytes.prefix_hashes(part), place, place + gram)
         marked = (hashes >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)

@@ -1,11 +1,15 @@
 """Every stage of corpus_pipeline against a brute-force version, on rows with copies, null ids, one id twice and repeated rows."""
 
+import os
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from siftspark.llm import jaccard, resampling, substrings, textbytes
 from siftspark.llm.difference_cover import anchors_of
@@ -244,3 +248,25 @@ def test_samples_and_pieces_in_blocks(monkeypatch):
         assert per(substrings.samples(data, ends, 200)) == whole
         begin, end = substrings.pieces(np.array([0, 850]), np.array([700, 3_000]), 200)
         assert sorted(w for a, b in zip(begin, end) for w in range(a, b - 199)) == [*range(501), *range(850, 2_801)]
+
+
+def test_workers_hand_back_what_they_freed(spark):
+    """A worker that has freed 96 MB below an object that stays kept them for good."""
+
+    def worker(free):
+        def run(batches):
+            rows = sum(b.num_rows for b in batches)
+            if rows and not free:
+                found = [np.ones(12_000) for _ in range(1_000)]
+                textbytes.kept = found[-1]
+                del found
+            if rows:
+                held = sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+                time.sleep(0.5)  # so that every task has a worker of its own
+                yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "marked": [hasattr(textbytes, "kept")], "mb": [held]})
+
+        return {r["pid"]: r["mb"] for r in spark.range(0, 4, 1, 4).mapInArrow(run, "pid long, marked boolean, mb double").collect() if r["marked"]}
+
+    begun, then = worker(False), worker(True)
+    both = begun.keys() & then.keys()
+    assert both and all(then[pid] < begun[pid] - 60 for pid in both)

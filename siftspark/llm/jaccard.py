@@ -84,17 +84,20 @@ def asked(place: int, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
     times = np.diff(np.append(first, len(flat)))
     common = np.repeat(times >= COMMON, times)
-    once = first[times >= COMMON]
-    records = np.concatenate([np.stack([flat[~common], owner[~common], np.ones((~common).sum(), np.int64)], 1), np.stack([flat[once], np.full(len(once), -1), times[times >= COMMON]], 1)])
-    records = records[np.argsort(records[:, 0], kind="stable")]
+    own = packed(np.stack([node, size], 1)), packed(np.stack([flat[common], owner[common]], 1))
+    once, many = first[times >= COMMON], times[times >= COMMON]
+    owner[once] = -1
+    common[once] = False
+    flat, owner, number = flat[~common], owner[~common], np.ones(len(flat) - int(common.sum()), np.int64)
+    number[np.flatnonzero(owner < 0)] = many
     width = -(-(1 << BITS) // buckets)
-    cut = np.searchsorted(records[:, 0], np.arange(buckets + 1) * width)
+    cut = np.searchsorted(flat, np.arange(buckets + 1) * width)
     used = np.flatnonzero(np.diff(cut))
-    blobs = [packed(np.concatenate([np.diff(x[:, :1], axis=0, prepend=0), x[:, 1:]], 1)) for x in (records[cut[b] : cut[b + 1]] for b in used)]
-    own = packed(np.stack([node, size], 1)), packed(np.stack([flat[common], owner[common]], 1))
+    blobs = [packed(np.stack([np.diff(flat[a:b], prepend=0), owner[a:b], number[a:b]], 1)) for a, b in zip(cut[used], cut[used + 1])]
     # A place's own row goes by a bucket of its own.
     return pa.RecordBatch.from_arrays([pa.array([place] * (len(used) + 1), pa.int64()), pa.array([*used, -1 - place], pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(used), own[0]], pa.binary()), pa.array([*[None] * len(used), own[1]], pa.binary())], DEALT_NAMES)
 
